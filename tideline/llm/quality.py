@@ -69,37 +69,34 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.outputs(x) + self.shift, -30, 30)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, epochs: int = 60, rate: float = 0.01, decay: float = 1e-3, batch: int = 1024, seed: int = 5) -> QualityModel:
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 1000, rate: float = 0.01, decay: float = 1e-3, batch: int = 1024, seed: int = 5) -> QualityModel:
     """Minimise the non-negative unbiased risk by Adam over mini-batches of both samples."""
     rng = np.random.default_rng(seed)
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 0.01
     pos, unl = standard(positive, mean, scale), standard(unlabelled, mean, scale)
     n = pos.shape[1]
     w = [rng.normal(0, n**-0.5, (n, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(())]
-    first, second, step = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
-    for _ in range(epochs):
-        order = rng.permutation(len(unl))
-        for at in range(0, len(order), batch):
-            u = unl[order[at : at + batch]]
-            p = pos[rng.integers(0, len(pos), min(batch, len(pos)))]
-            x = np.concatenate([p, u])
-            h = np.tanh(x @ w[0] + w[1])
-            g = h @ w[2] + w[3]
-            s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            slope = s * (1 - s)  # the loss is sigmoid(-z): l(g) = 1 - s and l(-g) = s
-            k = len(p)
-            negative_risk = s[k:].mean() - prior * s[:k].mean()
-            d = np.concatenate([-prior * slope[:k] / k, np.zeros(len(u))])
-            part = np.concatenate([-prior * slope[:k] / k, slope[k:] / len(u)])
-            # Below zero the negative part is overfitted: step back along it instead.
-            d = d + part if negative_risk >= 0 else -part
-            dh = np.outer(d, w[2]) * (1 - h * h)
-            grads = [x.T @ dh + decay * w[0], dh.sum(axis=0), h.T @ d + decay * w[2], d.sum()]
-            step += 1
-            for i, gr in enumerate(grads):
-                first[i] = 0.9 * first[i] + 0.1 * gr
-                second[i] = 0.999 * second[i] + 0.001 * gr * gr
-                w[i] = w[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+    first, second = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+    for step in range(1, steps + 1):
+        u = unl[rng.integers(0, len(unl), min(batch, len(unl)))]
+        p = pos[rng.integers(0, len(pos), min(batch, len(pos)))]
+        x = np.concatenate([p, u])
+        h = np.tanh(x @ w[0] + w[1])
+        g = h @ w[2] + w[3]
+        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+        slope = s * (1 - s)  # the loss is sigmoid(-z): l(g) = 1 - s and l(-g) = s
+        k = len(p)
+        negative_risk = s[k:].mean() - prior * s[:k].mean()
+        d = np.concatenate([-prior * slope[:k] / k, np.zeros(len(u))])
+        part = np.concatenate([-prior * slope[:k] / k, slope[k:] / len(u)])
+        # Below zero the negative part is overfitted: step back along it instead.
+        d = d + part if negative_risk >= 0 else -part
+        dh = np.outer(d, w[2]) * (1 - h * h)
+        grads = [x.T @ dh + decay * w[0], dh.sum(axis=0), h.T @ d + decay * w[2], d.sum()]
+        for i, gr in enumerate(grads):
+            first[i] = 0.9 * first[i] + 0.1 * gr
+            second[i] = 0.999 * second[i] + 0.001 * gr * gr
+            w[i] = w[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     return QualityModel(mean, scale, w)
 
 
