@@ -104,11 +104,18 @@ def calibrate(model: QualityModel, x: np.ndarray, y: np.ndarray, ridge: float =
     """Fit the slope and shift of the model's log-odds to labels of both classes by Newton's method."""
     g = model.outputs(x)
     z, theta = np.stack([g, np.ones_like(g)], axis=1), np.array([1.0, 0.0])
+
+    def loss(t: np.ndarray) -> float:
+        return float(np.logaddexp(0, -np.where(y == 1, 1, -1) * (z @ t)).sum() + ridge / 2 * ((t - [1.0, 0.0]) ** 2).sum())
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
         grad = z.T @ (p - y) + ridge * (theta - [1.0, 0.0])
         hess = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
-        theta = theta - np.clip(np.linalg.solve(hess, grad), -2, 2)
+        move = np.linalg.solve(hess, grad)
+        while loss(theta - move) > loss(theta) and np.abs(move).max() > 1e-9:
+            move = move / 2
+        theta = theta - move
     model.slope, model.shift = max(0.0, float(theta[0])), float(theta[1])
 
 
