@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.text import word_lists
 from tideline.plans.scratch import materialize
 
 #: Words of a seed. Shorter items hold no seed and are never matched.
@@ -26,14 +27,6 @@ PASS_CHARS = 16_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-cased runs of letters and digits of all texts, and how many each text has."""
-    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+", " ")
-    words = pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
-    words = pc.if_else(pc.equal(pc.utf8_length(pc.utf8_trim(spaced, " ")), 0), pa.scalar([], words.type), words)
-    return pc.list_flatten(words), pc.list_value_length(words).to_numpy(zero_copy_only=False)
-
-
 def gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit key of the n ids from each place on."""
     return reduce(lambda acc, i: (acc ^ ids[i : len(ids) - n + 1 + i].astype(np.uint64)) * _STEP, range(n), np.uint64(n))

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.text import word_lists
+
 UNKNOWN = "und"
 #: Probability of a character that no piece covers, in every language.
 STRAY = 1e-7
@@ -162,13 +164,6 @@ def expected_counts(words: list[str], weights: np.ndarray, table: PieceTable, pr
     return counts
 
 
-def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-cased runs of letters of all texts, and how many each text has."""
-    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+", " ")
-    words = pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
-    return pc.list_flatten(words), pc.list_value_length(words).to_numpy()
-
-
 @dataclass
 class LanguageModel:
     """Piece probabilities [pieces, languages] and the languages' names in order."""
@@ -198,10 +193,10 @@ def fit(labelled: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
     def words(batches):
         for batch in batches:
-            found, counts = letter_words(batch.column(1))
+            found, counts = word_lists(batch.column(1), r"\p{L}")
             yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(np.repeat(np.arange(batch.num_rows), counts))), found], ["lang", "word"])
 
-    counted = chosen.select("lang", "text").mapInArrow(words, "lang string, word string").where("word != ''").groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).persist()
+    counted = chosen.select("lang", "text").mapInArrow(words, "lang string, word string").groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).persist()
     for _ in range(rounds):
 
         def count(batches, probs=probs):
@@ -241,7 +236,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             texts = batch.column(1)
             best, score = np.full(len(texts), -1), np.zeros(len(texts))
             for at in range(0, len(texts), 512):
-                found, counts = letter_words(texts.slice(at, 512))
+                found, counts = word_lists(texts.slice(at, 512), r"\p{L}")
                 coded = found.dictionary_encode()
                 words = coded.dictionary.to_pylist()
                 new = [w for w in words if w not in known]
@@ -250,11 +245,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 known.update(zip(new, range(len(known), len(known) + len(new))))
                 scores = np.concatenate([scores, word_scores(new, table, probs)])
                 own = scores[np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))]
-                own[[i for i, w in enumerate(words) if not w]] = 0.0
                 per_word = own[coded.indices.to_numpy(zero_copy_only=False)]
-                starts = np.cumsum(counts) - counts
-                total = np.add.reduceat(per_word, np.minimum(starts, len(per_word) - 1), axis=0) if len(per_word) else np.zeros((len(counts), len(languages)))
-                lettered = pc.match_substring_regex(pc.fill_null(texts.slice(at, 512), ""), r"\p{L}").to_numpy(zero_copy_only=False)
+                total = np.zeros((len(counts), len(languages)))
+                lettered = counts > 0
+                if lettered.any():
+                    total[lettered] = np.add.reduceat(per_word, (np.cumsum(counts) - counts)[lettered], axis=0)
                 scaled = total / np.sqrt(np.maximum(counts, 1))[:, None]
                 share = np.exp(scaled - scaled.max(axis=1, keepdims=True))
                 share /= share.sum(axis=1, keepdims=True)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import chat, decontaminate, langid, media, mixing, quality, simhash
+from tideline.llm import chat, decontaminate, langid, media, mixing, pseudo_lm, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_pseudo_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.fit_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.with_media(_table(spark, sf_dir, "documents"))
     found = media.image_features(stored)
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_langid, op4_quality, op6_media, op7_chat, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_langid, op4_quality, op5_pseudo_lm, op6_media, op7_chat, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
