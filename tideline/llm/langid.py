@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.text import word_lists
+from tideline.llm.text import map_texts, word_lists
 
 UNKNOWN = "und"
 #: Probability of a character that no piece covers, in every language.
@@ -218,51 +218,55 @@ def fit(labelled: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     return LanguageModel(pieces, languages, probs)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), remembered: int = 200_000) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of ``docs``, and the columns in ``keep``.
+def _identifier(model: LanguageModel, remembered: int):
+    """A function from texts to their languages and scores, which remembers the words that it has seen."""
+    table, languages = PieceTable(model.pieces), model.languages
+    known: dict[str, int] = {}
+    held = [np.empty((0, len(languages)))]
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        found, counts = word_lists(texts, r"\p{L}")
+        lettered = counts > 0
+        if not languages or not lettered.any():
+            return [pa.array([UNKNOWN] * len(texts)), pa.array(np.zeros(len(texts)))]
+        coded = found.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > remembered:
+            known.clear()
+            held[0], new = held[0][:0], words
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        held[0] = np.concatenate([held[0], word_scores(new, table, model.probs)])
+        own = held[0][np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))]
+        per_word = own[coded.indices.to_numpy(zero_copy_only=False)]
+        total = np.zeros((len(counts), len(languages)))
+        total[lettered] = np.add.reduceat(per_word, (np.cumsum(counts) - counts)[lettered], axis=0)
+        scaled = total / np.sqrt(np.maximum(counts, 1))[:, None]
+        share = np.exp(scaled - scaled.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        names = np.array([*languages, UNKNOWN], dtype=object)[np.where(lettered, share.argmax(axis=1), -1)]
+        return [pa.array(names, pa.string()), pa.array(np.where(lettered, share.max(axis=1), 0.0))]
+
+    return compute
+
+
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", remembered: int = 200_000) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row of ``docs``.
 
     A text's score is the probability of its language given the whole text, with
     equal priors, softened by the root of its number of words: the words of a
     text aren't independent. ``und`` with score 0 where the text is null, has no
-    letter, or the model knows no language. Very long runs of letters are
-    scored in parts. Each task remembers the scores of up to ``remembered`` words.
+    letter, or the model knows no language. Long runs of letters are scored in
+    parts. A task remembers the scores of up to ``remembered`` words. Repeated
+    rows get equal results; other columns are ignored.
     """
-    table, probs, languages = PieceTable(model.pieces), model.probs, model.languages
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_texts(own, "text", _identifier(model, remembered), ["string", "double"], ["doc_id"], names=["lang_pred", "score"], block=512)
 
-    def run(batches):
-        known: dict[str, int] = {}
-        scores = np.empty((0, len(languages)))
-        for batch in batches:
-            texts = batch.column(1)
-            best, score = np.full(len(texts), -1), np.zeros(len(texts))
-            for at in range(0, len(texts), 512):
-                found, counts = word_lists(texts.slice(at, 512), r"\p{L}")
-                coded = found.dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                new = [w for w in words if w not in known]
-                if len(known) + len(new) > remembered:
-                    known, new, scores = {}, words, np.empty((0, len(languages)))
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                scores = np.concatenate([scores, word_scores(new, table, probs)])
-                own = scores[np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))]
-                per_word = own[coded.indices.to_numpy(zero_copy_only=False)]
-                total = np.zeros((len(counts), len(languages)))
-                lettered = counts > 0
-                if lettered.any():
-                    total[lettered] = np.add.reduceat(per_word, (np.cumsum(counts) - counts)[lettered], axis=0)
-                scaled = total / np.sqrt(np.maximum(counts, 1))[:, None]
-                share = np.exp(scaled - scaled.max(axis=1, keepdims=True))
-                share /= share.sum(axis=1, keepdims=True)
-                best[at : at + 512] = np.where(lettered, share.argmax(axis=1), -1)
-                score[at : at + 512] = np.where(lettered, share.max(axis=1), 0.0)
-            names = np.array([*languages, UNKNOWN], dtype=object)[best]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i + 2) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score)], ["doc_id", *keep, "lang_pred", "score"])
-
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    if not languages:
-        return own.select("doc_id", *keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    return own.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+def accepted(docs: DataFrame, model: LanguageModel, sure: float, text_col: str = "text", remembered: int = 200_000) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose language is known with a score of at least ``sure``."""
+    return map_texts(docs, text_col, _identifier(model, remembered), ["string", "double"], docs.columns, where=f"r0 != '{UNKNOWN}' and r1 >= {sure}", block=512)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.text import map_texts
+
 #: Byte shares, then length, word length, repeated bytes, repeated words, distinct words.
 FEATURES = 256 + 5
 #: Bounds of the fit: labelled rows, and unlabelled rows. Both are taken by a hash of the id.
@@ -125,15 +127,10 @@ def _share(id_col: str, salt: str) -> Column:
 
 
 def _as_features(docs: DataFrame, *keep: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = features(part.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in found], pa.binary()), *part.columns[1:]], ["x", *keep])
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([row.tobytes() for row in features(texts)], pa.binary())]
 
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select("text", *keep).mapInArrow(run, "x binary" + kinds)
+    return map_texts(docs, "text", compute, ["binary"], list(keep), names=["x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = FIT_LABELLED, unlabelled: int = FIT_UNLABELLED) -> QualityModel:
@@ -162,23 +159,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, predicted) of every row of ``docs``, and the columns in ``keep``.
+def _scorer(model: QualityModel):
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        marks = model.scores(features(texts).astype(np.float64))
+        return [pa.array(marks), pa.array((marks >= THRESHOLD).astype(np.int32))]
+
+    return compute
+
+
+def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score, predicted) of every row of ``docs``.
 
     Higher scores are likelier to be labelled 1; predicted is 1 from 0.3 on. A
     null or empty text has all features zero and a score like any other.
     Repeated rows get equal scores; other columns are ignored.
     """
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_texts(own, "text", _scorer(model), ["double", "int"], ["doc_id"], names=["score", "predicted"])
 
-    def run(batches):
-        for batch in batches:
-            found = [model.scores(features(batch.column(1).slice(at, 1024)).astype(np.float64)) for at in range(0, batch.num_rows, 1024)]
-            marks = np.concatenate(found) if found else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(marks), pa.array((marks >= THRESHOLD).astype(np.int32))], ["doc_id", *keep, "score", "predicted"])
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    return own.mapInArrow(run, f"{kinds}, score double, predicted int")
+def accepted(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text is predicted 1."""
+    return map_texts(docs, text_col, _scorer(model), ["double", "int"], docs.columns, where="r1 = 1")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, langid, media, mixing, pseudo_lm, quality, simhash
+from tideline.llm import chat, decontaminate, html_render, langid, licenses, media, mixing, pseudo_lm, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: each lies at source/id div 1000/id div 100/id, and one that opens with a statement is its directory's licence file."""
+    steps = [F.col("source"), *(F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100)), F.col("doc_id").cast("string")]
+    files = _table(spark, sf_dir, "documents").select(F.concat_ws("/", *steps).alias("path"), "text")
+    opens = F.substring_index("text", "\n", 1).rlike("(?i)" + "|".join(licenses.ANCHORS))
+    return licenses.scan(files, licence_file=opens).withColumn("doc_id", F.regexp_extract("path", "[^/]*$", 0).cast("long"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "start", "score")
@@ -42,11 +51,15 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    row = lambda i, role: F.struct(*(F.lit(v).cast(turns.schema[c].dataType).alias(c) for c, v in zip(turns.columns, (-7, i, role, "</s>[INST] ok [/INST]"))))
+    extra = spark.range(1).select(F.inline(F.array(row(0, "user"), row(1, "assistant"))))
     return chat.read_back(chat.chat_examples(turns.unionByName(extra)))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.render_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -56,8 +69,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_langid, op4_quality, op5_pseudo_lm, op6_media, op7_chat, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_licenses, op2_decontaminate, op3_langid, op4_quality, op5_pseudo_lm, op6_media, op7_chat, op8_html, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": chat.CHAT_SQL, "op9_mixing": mixing.MIX_SQL}
+    return {"op1_licenses": licenses.LICENCE_SQL, "op7_chat": chat.CHAT_SQL, "op9_mixing": mixing.MIX_SQL}

@@ -18,7 +18,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.plans.components import connected_components
@@ -200,16 +200,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     All columns are kept. Rows that repeat a doc_id are one document, of which
     one row stays; of a component without any doc_id, one row stays too.
     """
-    from pyspark.sql import Window
-
-    if id_col != "doc_id":
-        raise ValueError("rename the id column to doc_id first")
     found = simhash_components(docs, id_col, text_col)
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    one = F.row_number().over(Window.partitionBy("keep_id").orderBy("keep_id"))
-    kept = docs.join(firsts, F.col(id_col) == F.col("keep_id")).withColumn("_nth", one).where("_nth = 1").drop("_nth", "keep_id")
-    nameless = found.where("component_id is null").select("fingerprint").distinct()
-    lost = docs.where(F.col(id_col).isNull())
-    own = F.udf(lambda text: f"{fingerprint(text):016x}", "string")
-    lost = lost.withColumn("_fp", own(F.col(text_col))).join(nameless.withColumnRenamed("fingerprint", "_fp"), "_fp").dropDuplicates(["_fp"])
-    return kept.unionByName(lost.drop("_fp"))
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first_of_group")).distinct()
+    nth = F.row_number().over(Window.partitionBy("_first_of_group").orderBy("_first_of_group"))
+    kept = docs.join(firsts, F.col(id_col) == F.col("_first_of_group")).withColumn("_nth_of_id", nth).where("_nth_of_id = 1")
+    nameless = found.where("component_id is null").select(F.col("fingerprint").alias("_print")).distinct()
+    own = F.udf(lambda text: f"{fingerprint(text):016x}", "string")  # of rows without an id alone
+    lost = docs.where(F.col(id_col).isNull()).withColumn("_print", own(F.col(text_col))).join(nameless, "_print").dropDuplicates(["_print"])
+    return kept.select(docs.columns).unionByName(lost.select(docs.columns))
