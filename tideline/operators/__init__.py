@@ -1 +1 @@
-
+"""Operators on operation logs."""

@@ -1 +1 @@
-
+"""Operation logs from tables and from binary updates."""
