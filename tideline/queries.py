@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as tx
 from tideline.operators import history, order, positions, presence, state, values
+from tideline.plans.scratch import materialize
 from tideline.sources.tables import EDITS_SQL, TREE_SQL, TURNS_SQL, edits, table, tree_items, turns
+from tideline.sources.updates import decode_state_vectors, decode_updates, resolve_parents
+from tideline.sources.wire import encode_state_vectors, encode_updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -381,3 +384,63 @@ SELECT doc_id, client, clock, CASE WHEN before IS NULL THEN 'added' WHEN state I
 """)
 def presence_changes(spark, sf_dir):
     return presence.presence_changes(_presence(spark, sf_dir))
+
+
+def _structs(spark, sf_dir) -> DataFrame:
+    """Events as structs of the update format: writes of map keys, texts of a sequence, deletions."""
+    log = _log(spark, sf_dir)
+    ident = F.struct(F.col("client").cast("long").alias("client"), (F.col("clock") - 1).alias("clock"))
+    none = lambda kind: F.lit(None).cast(kind)
+    typed = F.col("event_type") == "view"
+    return log.select(
+        "doc_id", "client", "clock", "len",
+        F.when(typed & (F.col("clock") > 0), ident).alias("origin"), none("struct<client:long,clock:long>").alias("right_origin"),
+        F.when(~typed | (F.col("clock") == 0), F.lit("events")).alias("parent_name"), none("struct<client:long,clock:long>").alias("parent_id"), F.when(~typed, F.col("key")).alias("parent_sub"),
+        F.when(typed, "string").otherwise("any").alias("content_type"), F.when(typed, "v").alias("str"), none("binary").alias("bin"),
+        F.when(~typed, F.array(F.to_json(F.struct("value", "event_type")))).alias("vals"), none("string").alias("fmt_key"), none("int").alias("type_class"), none("string").alias("node_name"), none("struct<client:long,clock:long>").alias("move_target"), none("long").alias("move_len"), "deletes",
+    )
+
+
+@query(f"""
+SELECT doc_id, client, clock, CASE WHEN event_type = 'view' THEN 'string' ELSE 'any' END AS content_type, CASE WHEN event_type = 'view' THEN 'v' END AS str,
+  CASE WHEN event_type <> 'view' THEN key END AS parent_sub, CASE WHEN event_type <> 'view' THEN value END AS value, deletes FROM ({EDITS_SQL})
+""")
+def update_round_trip(spark, sf_dir):
+    """Every document's log as one binary update, read back into rows."""
+    structs = _structs(spark, sf_dir)
+    rows = materialize(decode_updates(encode_updates(structs, structs.where("deletes"))), "decoded")
+    log = rows.where("content_type != 'range' and error is null")
+    gone = state.in_delete_set(log, rows.where("content_type = 'range'")).select("doc_id", "client", "clock", F.lit(True).alias("deletes"))
+    value = F.get_json_object(F.element_at("vals", 1), "$.value").cast("double")
+    return log.join(gone, ["doc_id", "client", "clock"], "left").select("doc_id", "client", "clock", "content_type", "str", "parent_sub", value.alias("value"), F.coalesce("deletes", F.lit(False)).alias("deletes"))
+
+
+@query(f"""
+WITH RECURSIVE log AS ({EDITS_SQL}), s AS (SELECT doc_id, client, clock, event_type = 'view' AND clock > 0 AS typed, CASE WHEN event_type <> 'view' THEN key END AS parent_sub FROM log),
+heirs AS (
+  SELECT doc_id, client, clock, parent_sub FROM s WHERE NOT typed
+  UNION ALL SELECT s.doc_id, s.client, s.clock, h.parent_sub FROM s JOIN heirs h ON s.typed AND h.doc_id = s.doc_id AND h.client = s.client AND h.clock = s.clock - 1
+)
+SELECT doc_id, client, clock, 'events' AS parent_name, parent_sub FROM heirs
+""")
+def parents_resolved(spark, sf_dir):
+    structs = _structs(spark, sf_dir)
+    log = materialize(decode_updates(encode_updates(structs, structs.where("deletes"))), "decoded").where("content_type != 'range'")
+    return resolve_parents(log).select("doc_id", "client", "clock", "parent_name", "parent_sub")
+
+
+@query(f"SELECT doc_id, client, CAST(max(clock) + 1 AS BIGINT) AS next_clock FROM ({EDITS_SQL}) GROUP BY ALL")
+def state_vector_round_trip(spark, sf_dir):
+    return decode_state_vectors(encode_state_vectors(state.state_vector(_log(spark, sf_dir))))
+
+
+@query(f"""
+WITH log AS ({EDITS_SQL}), known AS (SELECT doc_id, client, max(clock) + 1 AS next_clock FROM log WHERE ts < TIMESTAMP '{EARLY}' GROUP BY ALL)
+SELECT doc_id, client, clock FROM log LEFT JOIN known USING (doc_id, client) WHERE clock >= coalesce(next_clock, 0)
+""")
+def sync_reply(spark, sf_dir):
+    """A peer's state vector as bytes, and the update that answers it, read back."""
+    structs = _structs(spark, sf_dir)
+    asked = decode_state_vectors(encode_state_vectors(state.state_vector(_early(_log(spark, sf_dir)))))
+    reply = encode_updates(state.diff_since(structs, asked), structs.where("deletes"))
+    return decode_updates(reply).where("content_type != 'range'").select("doc_id", "client", "clock")
