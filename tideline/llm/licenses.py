@@ -92,7 +92,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", licen
     licence of the nearest directory above it that has a licence file
     (``inherited``), else none. Of several licence files in a directory the best
     counts, then the first licence in order of name. A null text has no passage;
-    a null path has no directory; repeated rows get equal results; other
+    rows with a null path can't be told apart and have basis ``none``; repeated rows get equal results; other
     columns are ignored.
     """
     named = F.col("path").rlike(LICENCE_FILE) if licence_file is None else licence_file
