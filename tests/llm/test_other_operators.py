@@ -213,7 +213,7 @@ def test_broken_images_give_a_reason(spark):
         ("<table><tr><th>Name<th>N<tr><td>Long name<td>1</table>", "Name       N\nLong name  1"),
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
         ("<table><tr><td colspan=2>wide cell<td>z<tr><td>a<td>b<td>c</table>", "wide cell  z\na  b  c"),
-        ("<pre>\n a  b\n   c</pre>", "a  b\n   c"),
+        ("<pre>\n a  b\n   c</pre>", " a  b\n   c"),
         ("<head><title>t</title></head><script>x</script><style>.n{display:none}</style><p class='n'>no</p><p hidden>no</p>yes", "yes"),
         ("<div style='display: none'>a</div><div style='visibility:hidden'>b<b style='visibility:visible'>c</b></div>", "c"),
         ("<details><summary>s</summary>more</details><details open><summary>t</summary>more</details>", "s\nt\nmore"),
