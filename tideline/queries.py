@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as tx
 from tideline.operators import history, order, positions, presence, state, values
-from tideline.plans.scratch import materialize
+from tideline.plans.scratch import materialize, scratch_dir
 from tideline.sources.tables import EDITS_SQL, TREE_SQL, TURNS_SQL, edits, table, tree_items, turns
 from tideline.sources.updates import decode_state_vectors, decode_updates, resolve_parents
 from tideline.sources.wire import encode_state_vectors, encode_updates
+from tideline.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -444,3 +446,27 @@ def sync_reply(spark, sf_dir):
     asked = decode_state_vectors(encode_state_vectors(state.state_vector(_early(_log(spark, sf_dir)))))
     reply = encode_updates(state.diff_since(structs, asked), structs.where("deletes"))
     return decode_updates(reply).where("content_type != 'range'").select("doc_id", "client", "clock")
+
+
+def _streamed(spark, sf_dir, log: DataFrame, apply) -> DataFrame:
+    """Run ``log`` through a streaming query until its files are read, and return what the query wrote."""
+    base = f"{scratch_dir(spark)}/tideline-stream-{uuid.uuid4().hex}"
+    log.write.parquet(f"{base}/log")
+    stream = live.read_log(spark, f"{base}/log", log.schema, files_per_batch=64)
+    live.store_updates(apply(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(apply(stream).schema).parquet(f"{base}/out")
+
+
+@query(f"SELECT doc_id, client, CAST(max(clock) + 1 AS BIGINT) AS next_clock, count(*) AS n_units FROM ({EDITS_SQL}) GROUP BY ALL")
+def stream_causal_order(spark, sf_dir):
+    """The log dealt over files at random, with a third of it twice: every unit comes out once, in order of its client."""
+    log = _log(spark, sf_dir).select("doc_id", "client", "clock", "len")
+    twice = log.unionByName(log.where("clock % 3 = 1")).repartition(8, F.xxhash64("doc_id", "client", "clock") % 8)
+    released = _streamed(spark, sf_dir, twice, live.in_causal_order)
+    return released.groupBy("doc_id", "client").agg(F.max(F.col("clock") + F.col("len")).alias("next_clock"), F.sum("len").alias("n_units"))
+
+
+@query(f"SELECT doc_id, client, clock FROM ({EDITS_SQL})")
+def stream_distinct(spark, sf_dir):
+    log = _log(spark, sf_dir).select("doc_id", "client", "clock", "len")
+    return _streamed(spark, sf_dir, log.unionByName(log.where("clock % 2 = 0")), live.distinct_units).select("doc_id", "client", "clock")

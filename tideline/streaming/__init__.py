@@ -1 +1 @@
-
+"""Operation logs as streams."""
