@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.text import word_lists
+from tideline.llm.text import bounded_batches, word_lists
 from tideline.plans.scratch import materialize
 
 #: Words of a seed. Shorter items hold no seed and are never matched.
@@ -126,7 +126,7 @@ def _leaks_of(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFr
             for at in range(0, batch.num_rows, 512):
                 yield find_seeds(batch.slice(at, 512), items, n)
 
-    found = materialize(docs.select("doc_id", "text", "row_key").mapInArrow(seeds, f"doc_id {kind}, row_key long, item long, start long, words array<int>, seeds array<long>"), "seeds")
+    found = materialize(bounded_batches(docs.select("doc_id", "text", "row_key")).mapInArrow(seeds, f"doc_id {kind}, row_key long, item long, start long, words array<int>, seeds array<long>"), "seeds")
     counts = found.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).toPandas()  # at most the seeds of the pass
     often = dict(zip(counts["seed"].to_numpy().view(np.uint64), counts["n"]))
     seen = np.array([often.get(k, 0) for k in items.keys])

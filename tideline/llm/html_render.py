@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.text import bounded_batches
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Blocks with a blank line around them, and blocks that only start a line of their own.
@@ -318,4 +320,4 @@ def render_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(x.as_py()) for x in batch.column(1)], pa.string())], ["page_id", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {kind}, text string")
+    return bounded_batches(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))).mapInArrow(run, f"page_id {kind}, text string")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.text import map_texts, word_lists
+from tideline.llm.text import bounded_batches, map_texts, word_lists
 
 UNKNOWN = "und"
 #: Probability of a character that no piece covers, in every language.
@@ -196,7 +196,7 @@ def fit(labelled: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             found, counts = word_lists(batch.column(1), r"\p{L}")
             yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(np.repeat(np.arange(batch.num_rows), counts))), found], ["lang", "word"])
 
-    counted = chosen.select("lang", "text").mapInArrow(words, "lang string, word string").groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).persist()
+    counted = bounded_batches(chosen.select("lang", "text")).mapInArrow(words, "lang string, word string").groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).persist()
     for _ in range(rounds):
 
         def count(batches, probs=probs):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import jpeg
+from tideline.llm.text import bounded_batches
 
 #: Bytes of payload that are coded at once, and bytes of images that are decoded at once.
 CHUNK, READ = 1 << 16, 1 << 19
@@ -70,7 +71,7 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, media binary")
+    return bounded_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id {kind}, media binary")
 
 
 def difference_hash(grey: np.ndarray) -> str:
@@ -124,7 +125,7 @@ def image_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
 
     kind = media.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumbnail binary, thumbnail_hash string, feature string, error string"
-    return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
+    return bounded_batches(media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))).mapInArrow(run, schema)
 
 
 def _alone(data: bytes | None) -> dict:

@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch; texts are long, and both sides of the pipe hold whole batches.
+BATCH_ROWS = 1024
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to pass at most BATCH_ROWS rows at a time to Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def word_lists(texts: pa.Array, kept: str = r"\p{L}\p{N}") -> tuple[pa.Array, np.ndarray]:
     """The lower-cased runs of ``kept`` characters of all texts, and how many each text has. Null is empty."""
     spaced = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), f"[^{kept}]+", " "), " ")
@@ -38,7 +50,7 @@ def map_texts(docs: DataFrame, text_col: str, compute: Callable[[pa.Array], list
     held = [places[c] for c in [text_col, *others] if c in keep]
     own = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in places.items()))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name in held] + [f"r{i} {k}" for i, k in enumerate(kinds)])
-    out = own.mapInArrow(run, schema)
+    out = bounded_batches(own).mapInArrow(run, schema)
     if where:
         out = out.where(where)
     return out.select(*(F.col(places[c]).alias(c) for c in keep), *(F.col(f"r{i}").alias(n) for i, n in enumerate(names or [])))
