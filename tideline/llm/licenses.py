@@ -68,19 +68,20 @@ def _weights(spark: SparkSession) -> tuple[DataFrame, DataFrame, float]:
 
 
 def score_passages(passages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(passage, licence, score) of the distinct passages that resemble a template: its licence and the cosine.
+    """(key, licence, score) of those ``passages(key, passage)`` that resemble a template: the licence and the cosine.
 
-    Term weights are term frequency times the idf among the templates; terms
-    in none of them count for a passage's norm. Of equal cosines the first
-    licence in order of name counts.
+    ``key`` is the same for equal passages, each of which is scored once. Term
+    weights are term frequency times the idf among the templates; terms in none
+    of them count for a passage's norm. Of equal cosines the first licence in
+    order of name counts.
     """
     idf, templates, unseen = _weights(passages.sparkSession)
-    terms = _counts(passages.select("passage").distinct(), "passage").join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norms = terms.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    terms = _counts(passages.dropDuplicates(["key"]), "key").join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    norms = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # The templates are fixed: some hundred terms.
-    dots = terms.join(F.broadcast(templates), "term").groupBy("passage", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    best = dots.join(norms, "passage").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    return best.groupBy("passage").agg(F.max("score").alias("score"), F.min_by("licence", F.struct(-F.col("score"), "licence")).alias("licence"))
+    dots = terms.join(F.broadcast(templates), "term").groupBy("key", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    best = dots.join(norms, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    return best.groupBy("key").agg(F.max("score").alias("score"), F.min_by("licence", F.struct(-F.col("score"), "licence")).alias("licence"))
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", licence_file: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,9 +103,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", licen
     passages = F.when(F.col("text").rlike(anchor), F.when(F.col("is_licence"), F.array_union(lines, F.array("text"))).otherwise(lines))
     rows = materialize(rows.select("path", "is_licence", F.coalesce(passages, F.array().cast("array<string>")).alias("passages")), "passages")
 
-    held = rows.where(F.size("passages") > 0).select("path", "is_licence", F.explode("passages").alias("passage"))
+    held = rows.where(F.size("passages") > 0).select("path", "is_licence", F.explode("passages").alias("passage")).withColumn("key", F.sha2("passage", 256))
     best = F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), "licence"))
-    found = held.join(score_passages(held, threshold), "passage").groupBy("path", "is_licence").agg(best.alias("own"))
+    found = held.drop("passage").join(score_passages(held.select("key", "passage"), threshold), "key").groupBy("path", "is_licence").agg(best.alias("own"))
     found = materialize(found, "statements")
 
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
