@@ -11,8 +11,9 @@ import json
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tideline.operators.state import compact_ranges, state_vector
 
@@ -25,7 +26,11 @@ STRUCT = (
 #: Content tags of the format.
 TAGS = {"gc": 0, "deleted": 1, "json": 2, "binary": 3, "string": 4, "embed": 5, "format": 6, "type": 7, "any": 8, "doc": 9, "skip": 10, "move": 11}
 HAS_ORIGIN, HAS_RIGHT, HAS_KEY = 0x80, 0x40, 0x20
-NO_BYTES = F.lit(b"")
+
+
+def no_bytes() -> Column:
+    return F.lit(b"")
+
 
 
 def var_uint(value: Column) -> Column:
@@ -42,7 +47,7 @@ def var_int(value: Column) -> Column:
     """Sign and magnitude: six bits with the sign in the first byte, then seven a byte."""
     size = F.abs(value)
     first = size.bitwiseAND(F.lit(63).cast("long")) + F.when(value < 0, 64).otherwise(0) + F.when(F.shiftright(size, 6) > 0, 128).otherwise(0)
-    rest = F.when(F.shiftright(size, 6) > 0, var_uint(F.shiftright(size, 6))).otherwise(NO_BYTES)
+    rest = F.when(F.shiftright(size, 6) > 0, var_uint(F.shiftright(size, 6))).otherwise(no_bytes())
     return F.concat(F.unhex(F.lpad(F.hex(first), 2, "0")), rest)
 
 
@@ -111,7 +116,7 @@ def _sized(data: bytes, out: bytearray) -> None:
     out += data
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def any_values(vals: pd.Series) -> pd.Series:
     """The tagged bytes of JSON texts, one after the other."""
 
@@ -134,7 +139,7 @@ def struct_bytes(columns: dict[str, Column] | None = None) -> Column:
     flag = lambda condition, bit: F.when(condition, bit).otherwise(0)
     info = tag + flag(has("origin"), HAS_ORIGIN) + flag(has("right_origin"), HAS_RIGHT) + flag(has("parent_sub"), HAS_KEY)
     ident = lambda name: F.concat(var_uint(c(name)["client"]), var_uint(c(name)["clock"]))
-    optional = lambda condition, data: F.when(condition, data).otherwise(NO_BYTES)
+    optional = lambda condition, data: F.when(condition, data).otherwise(no_bytes())
     named = F.concat(byte(F.lit(1)), var_string(F.coalesce(c("parent_name"), F.lit(""))))
     parent = F.when(c("parent_id").isNotNull(), F.concat(byte(F.lit(0)), ident("parent_id"))).otherwise(named)
     values = any_values(c("vals"))
@@ -173,11 +178,9 @@ def encode_updates(structs: DataFrame, ranges: DataFrame) -> DataFrame:
     Structs of a client stand by clock, clients ascending. A gap of clocks
     becomes a skip struct, so parked runs keep their clocks.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id", "client").orderBy("clock")
     gap = F.col("clock") - F.lag(F.col("clock") + F.col("len")).over(order)
-    skip = F.when(gap > 0, F.concat(byte(F.lit(TAGS["skip"])), var_uint(gap))).otherwise(NO_BYTES)
+    skip = F.when(gap > 0, F.concat(byte(F.lit(TAGS["skip"])), var_uint(gap))).otherwise(no_bytes())
     coded = structs.withColumn("n", F.when(gap > 0, 2).otherwise(1)).withColumn("bytes", F.concat(skip, struct_bytes()))
     each = F.array_sort(F.collect_list(F.struct("clock", "bytes")))
     clients = coded.groupBy("doc_id", "client").agg(each.alias("own"), F.sum("n").cast("long").alias("n"))
