@@ -90,7 +90,8 @@ def _track(timeout_ms: int) -> Callable:
 def presence_feed(stream: DataFrame, timeout_ms: int = 30_000) -> DataFrame:
     """(doc_id, client, clock, change) as presence updates arrive: added, updated, removed, and expired after the timeout.
 
-    Only a clock above the client's last one counts.
+    Only a clock above the client's last one counts; updates of one batch apply in
+    order of clock. The timers keep such a query running until it is stopped.
     """
     kind = stream.schema["doc_id"].dataType.simpleString()
     own = stream.select("doc_id", "client", "clock", "state")
