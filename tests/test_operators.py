@@ -208,3 +208,17 @@ def test_presence(spark):
     assert [(r.clock, r.change) for r in presence.presence_changes(log).where("client = 9").orderBy("clock").collect()] == [(5, "added"), (6, "removed"), (7, "added")]
     live = presence.presence_states(log, F.lit(t(55)).cast("timestamp"), 30)
     assert [(r.client, r.clock) for r in live.collect()] == [(9, 7)]
+
+
+def test_edits_by_index(spark):
+    from tideline.operators import edit
+
+    runs = spark.createDataFrame([(1, 1, 0, 5, False), (1, 2, 0, 3, True), (1, 3, 0, 4, False)], LOG + ", deleted boolean")
+    by = [F.col("client")]
+    new = edit.insert_at(runs, spark.createDataFrame([(1, 0, "ab", 1), (1, 5, "👍", 1), (1, 9, "z", 8)], "doc_id long, index long, content string, client long"), by).collect()
+    at = {r.content: (r.client, r.clock, r.len, tuple(r.origin or ()), tuple(r.right_origin or ())) for r in new}
+    assert at == {"ab": (1, 5, 2, (), (1, 0)), "👍": (1, 7, 2, (1, 4), (3, 0)), "z": (8, 0, 1, (3, 3), ())}
+    gone = edit.delete_at(runs, spark.createDataFrame([(1, 1, 2), (1, 2, 4), (1, 8, 50)], "doc_id long, index long, n long"), by)
+    assert ranges(gone) == [(1, 1, 4), (3, 0, 1), (3, 3, 1)]
+    steps = spark.createDataFrame([(1, 1, "retain", None, 6), (1, 2, "delete", None, 5), (1, 3, "insert", "Go", 2)], "doc_id long, step long, op string, insert string, n long")
+    assert [(r.op, r["index"]) for r in sorted(edit.delta_steps(steps).collect(), key=lambda r: r.step)] == [("delete", 6), ("insert", 11)]

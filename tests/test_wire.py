@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tideline.sources import updates, wire
+from tideline.sources import columnar, updates, wire
 
 
 @pytest.mark.parametrize(("value", "data"), [(0, "00"), (1, "01"), (63, "3f"), (127, "7f"), (128, "8001"), (255, "ff01"), (300, "ac02"), (16383, "ff7f"), (16384, "808001"), (2**55, None)])
@@ -65,7 +65,8 @@ def struct_row(**given):
     return {"doc_id": 1, "client": 1, **base, **given}
 
 
-def test_every_kind_of_content_round_trips(spark):
+@pytest.mark.parametrize(("encode", "decode"), [(wire.encode_updates, updates.decode_updates), (columnar.encode_columnar, columnar.decode_columnar)])
+def test_every_kind_of_content_round_trips(spark, encode, decode):
     rows = [
         struct_row(clock=0, len=3, content_type="gc"),
         struct_row(clock=3, len=2, content_type="deleted", parent_name="t"),
@@ -82,7 +83,7 @@ def test_every_kind_of_content_round_trips(spark):
     ]
     frame = spark.createDataFrame(rows, "doc_id long, " + wire.STRUCT)
     gone = spark.createDataFrame([(1, 1, 3, 2), (1, 9, 0, 1), (1, 1, 5, 1)], "doc_id long, client long, clock long, len long")
-    back = updates.decode_updates(wire.encode_updates(frame, gone)).collect()
+    back = decode(encode(frame, gone)).collect()
     key = lambda r: (r["clock"],)
     norm = lambda r: {k: (v.asDict() if hasattr(v, "asDict") else bytes(v) if isinstance(v, bytearray) else [json.loads(x) for x in v] if k == "vals" and v is not None else v) for k, v in r.items()}
     found = sorted((norm(r.asDict()) for r in back if r.content_type != "range"), key=key)
@@ -110,8 +111,8 @@ def test_state_vectors_snapshots_and_messages(spark):
 @given(st.binary(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_bytes_of_any_kind_give_rows_or_an_error(data):
-    rows = updates._rows(data)
-    assert isinstance(rows, list)
+    assert isinstance(updates._rows(data), list)
+    assert isinstance(columnar._rows(data), list)
 
 
 @pytest.mark.parametrize("data", [b"", b"\xff" * 12, b"\x01", b"\x01\x01\x01\x00\x04\x01\x01t\x05hel", b"\x00\x00\x00"])
@@ -121,3 +122,30 @@ def test_malformed_updates_are_told(spark, data):
     assert len(rows) == 1 and rows[0].error
     with pytest.raises(Exception, match="PySparkRuntimeError|ValueError|PythonException"):
         updates.decode_updates(frame, permissive=False).collect()
+
+
+def columns_of(values, how):
+    reader = columnar._Runs(values, how)
+    return lambda n: [reader.next() for _ in range(n)]
+
+
+def test_columns_read_by_hand():
+    assert columns_of(bytes([7, 2, 9]), "byte")(6) == [7, 7, 7, 9, 9, 9]
+    assert columns_of(bytes([5, 0x40, 1, 0x43, 0]), "run")(6) == [5, 0, 0, 0, 3, 3]
+    assert columns_of(bytes([6, 3, 1, 0x44]), "diff")(5) == [3, 4, 5, 6, 4]
+
+
+def test_a_columnar_update_by_hand(spark):
+    """One client with one string under a root: the columns hold client 1, info 4, a named parent, and two strings."""
+    one = spark.createDataFrame([struct_row(clock=0, len=2, content_type="string", parent_name="t", str="hi")], "doc_id long, " + wire.STRUCT)
+    none = spark.createDataFrame([], "doc_id long, client long, clock long, len long")
+    data = bytes(columnar.encode_columnar(one, none).first().update)
+    assert data.hex() == "00" + "00" + "0101" + "00" + "00" + "0104" + "060374686901" + "02" + "0101" + "00" + "00" + "01" + "01" + "00" + "00"
+
+
+def test_repeated_keys_are_written_once(spark):
+    rows = [struct_row(clock=i, len=1, content_type="format", parent_name="t", fmt_key=k, vals=["1"]) for i, k in enumerate(["bold", "italic", "bold", "bold"])]
+    frame = spark.createDataFrame(rows, "doc_id long, " + wire.STRUCT)
+    coded = columnar.encode_columnar(frame, spark.createDataFrame([], "doc_id long, client long, clock long, len long"))
+    assert bytes(coded.first().update).count(b"bold") == 1
+    assert [r.fmt_key for r in sorted(columnar.decode_columnar(coded).collect(), key=lambda r: r.clock)] == ["bold", "italic", "bold", "bold"]

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import text as tx
-from tideline.operators import history, order, positions, presence, state, values
+from tideline.operators import edit, history, order, positions, presence, state, values
 from tideline.plans.scratch import materialize, scratch_dir
+from tideline.sources.columnar import decode_columnar, encode_columnar
 from tideline.sources.tables import EDITS_SQL, TREE_SQL, TURNS_SQL, edits, table, tree_items, turns
 from tideline.sources.updates import decode_state_vectors, decode_updates, resolve_parents
 from tideline.sources.wire import encode_state_vectors, encode_updates
@@ -361,6 +362,33 @@ def absolute_positions(spark, sf_dir):
     return positions.absolute_positions(runs, anchors, [F.col("client")])
 
 
+@query(f"""
+WITH runs AS ({_UNITS_SQL}), size AS (SELECT doc_id, sum(live) AS n FROM runs GROUP BY doc_id), places AS (SELECT doc_id, n // 2 AS index FROM size WHERE n >= 2)
+SELECT a.doc_id, CAST(99 AS BIGINT) AS client, CAST(0 AS BIGINT) AS clock, CAST(3 AS BIGINT) AS len, l.clock AS origin_client, CAST(a.index - 1 - (l.after - l.live) AS BIGINT) AS origin_clock, r.clock AS right_client, CAST(a.index - (r.after - r.live) AS BIGINT) AS right_clock
+FROM places a JOIN runs l ON l.doc_id = a.doc_id AND l.live > 0 AND a.index - 1 >= l.after - l.live AND a.index - 1 < l.after
+JOIN runs r ON r.doc_id = a.doc_id AND r.live > 0 AND a.index >= r.after - r.live AND a.index < r.after
+""")
+def insert_at(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    size = runs.groupBy("doc_id").agg(F.sum(F.when(~F.col("deleted"), F.col("len")).otherwise(0)).alias("n")).where("n >= 2")
+    inserts = size.select("doc_id", F.floor(F.col("n") / 2).alias("index"), F.lit("new").alias("content"), F.lit(99).cast("long").alias("client"))
+    found = edit.insert_at(runs, inserts, [F.col("client")])
+    return found.select("doc_id", "client", "clock", "len", F.col("origin.client").alias("origin_client"), F.col("origin.clock").alias("origin_clock"), F.col("right_origin.client").alias("right_client"), F.col("right_origin.clock").alias("right_clock"))
+
+
+@query(f"""
+WITH runs AS ({_UNITS_SQL}), size AS (SELECT doc_id, sum(live) AS n FROM runs GROUP BY doc_id), cut AS (
+  SELECT r.doc_id, r.clock AS client, greatest(n // 4, after - live) AS low, least(n // 4 + n // 2, after) AS high, after - live AS before FROM runs r JOIN size USING (doc_id) WHERE live > 0)
+SELECT doc_id, client, CAST(low - before AS BIGINT) AS clock, CAST(high - low AS BIGINT) AS len FROM cut WHERE high > low
+""")
+def delete_at(spark, sf_dir):
+    """Half of each conversation, from its first quarter on."""
+    runs = _runs(spark, sf_dir)
+    size = runs.groupBy("doc_id").agg(F.sum(F.when(~F.col("deleted"), F.col("len")).otherwise(0)).alias("n"))
+    deletes = size.select("doc_id", F.floor(F.col("n") / 4).alias("index"), F.floor(F.col("n") / 2).alias("n"))
+    return edit.delete_at(runs, deletes, [F.col("client")])
+
+
 def _presence(spark, sf_dir) -> DataFrame:
     log = _log(spark, sf_dir)
     return log.select("doc_id", "client", F.when(F.col("event_type") == "view", F.greatest(F.col("clock") - 2, F.lit(0))).otherwise(F.col("clock")).alias("clock"), F.when(F.col("deletes"), "null").otherwise(F.col("key")).alias("state"), "ts", F.col("clock").alias("seq"))
@@ -417,6 +445,17 @@ def update_round_trip(spark, sf_dir):
     return log.join(gone, ["doc_id", "client", "clock"], "left").select("doc_id", "client", "clock", "content_type", "str", "parent_sub", value.alias("value"), F.coalesce("deletes", F.lit(False)).alias("deletes"))
 
 
+@query(ORACLE["update_round_trip"])
+def columnar_round_trip(spark, sf_dir):
+    """The same in the columnar format; keys of runs with an origin are left out of it and come back from the origin."""
+    structs = _structs(spark, sf_dir)
+    rows = materialize(decode_columnar(encode_columnar(structs, structs.where("deletes"))), "decoded")
+    log = rows.where("content_type != 'range' and error is null")
+    gone = state.in_delete_set(log, rows.where("content_type = 'range'")).select("doc_id", "client", "clock", F.lit(True).alias("deletes"))
+    value = F.get_json_object(F.element_at("vals", 1), "$.value").cast("double")
+    return log.join(gone, ["doc_id", "client", "clock"], "left").select("doc_id", "client", "clock", "content_type", "str", "parent_sub", value.alias("value"), F.coalesce("deletes", F.lit(False)).alias("deletes"))
+
+
 @query(f"""
 WITH RECURSIVE log AS ({EDITS_SQL}), s AS (SELECT doc_id, client, clock, event_type = 'view' AND clock > 0 AS typed, CASE WHEN event_type <> 'view' THEN key END AS parent_sub FROM log),
 heirs AS (
