@@ -71,14 +71,15 @@ def test_components_equal_brute_force(spark, sf):
     assert {i: int(r.fingerprint, 16) for i, r in found.items()} == prints
 
 
-@pytest.mark.parametrize("shard", [4, 64, 100_000])
-def test_links_join_all_pairs_at_any_shard_size(spark, shard):
+@pytest.mark.parametrize(("shard", "whole", "depth"), [(4, None, 12), (64, None, 12), (100_000, None, 12), (4, 2, 12), (2, 1, 3), (2, 3, 2)])
+def test_links_join_all_pairs_at_any_shard_size(spark, monkeypatch, shard, whole, depth):
+    monkeypatch.setattr(simhash, "DEPTH", depth)
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     noise = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 7), replace=False))) for b in base for _ in range(4)]
     prints = sorted({int(x) for x in [*base, *noise, 0, 1, 3, 2**63]})
     signed = [x - 2**64 if x >= 2**63 else x for x in prints]
-    links = simhash.near_pairs(spark.createDataFrame([(x,) for x in signed], "fp long"), shard=shard)
+    links = simhash.near_pairs(spark.createDataFrame([(x,) for x in signed], "fp long"), shard=shard, whole=whole)
     parent = {x: x for x in prints}
 
     def root(i):

@@ -9,11 +9,14 @@ tree is grown over each range with the Hamming distance of that range: points
 at range distance 0 have equal distances to every vantage point and share a
 leaf, and the search needs no second branch. Leaves are the shards; every pair
 in a shard is compared over all 64 bits, so no link is lost and none is false.
+Where one range has too few values for the number of points, the trees are over
+all choices of two or more ranges out of more, of which one is intact as well.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ RADIUS = 4
 SHARD = 2048
 #: Fingerprints from which the trees' thresholds are taken. Any trees give exact pairs; the sample only balances them.
 FIT_SAMPLE = 1 << 14
+#: Levels of a tree at most.
+DEPTH = 12
 
 _SPREAD = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], dtype=np.uint64)
 
@@ -76,10 +81,23 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return bounded_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _ranges(parts: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each part of the 64 bits."""
+def tree_keys(radius: int, whole: int) -> list[list[tuple[int, int]]]:
+    """The (first bit, bits) ranges that each tree is over: all choices of ``whole`` of radius + whole even parts of the 64 bits.
+
+    ``radius`` differing bits touch at most so many parts, so any linked pair
+    agrees in full on one of the choices.
+    """
+    parts = radius + whole
     edges = [round(64 * i / parts) for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+    return [list(key) for key in combinations([(a, b - a) for a, b in zip(edges, edges[1:])], whole)]
+
+
+def code_of(prints: np.ndarray, key: list[tuple[int, int]]) -> np.ndarray:
+    """The bits of a key, side by side."""
+    out = np.zeros(len(prints), dtype=np.uint64)
+    for first, bits in key:
+        out = out << np.uint64(bits) | (prints >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+    return out
 
 
 def grow_tree(codes: np.ndarray, bits: int, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +111,10 @@ def grow_tree(codes: np.ndarray, bits: int, depth: int, seed: int) -> tuple[np.n
     radius = np.full(1 << depth, bits // 2, dtype=np.int64)
     node = np.ones(len(codes), dtype=np.int64)
     for level in range(depth):
-        for at in range(1 << level, 2 << level):
+        for at in np.unique(node):
             own = codes[node == at]
-            if len(own):
-                vantage[at] = own[rng.integers(len(own))]
-                radius[at] = int(np.median(np.bitwise_count(own ^ vantage[at])))
+            vantage[at] = own[rng.integers(len(own))]
+            radius[at] = int(np.median(np.bitwise_count(own ^ vantage[at])))
         node = descend(codes, node, vantage, radius)
     return vantage, radius
 
@@ -107,15 +124,20 @@ def descend(codes: np.ndarray, node: np.ndarray, vantage: np.ndarray, radius: np
     return 2 * node + (np.bitwise_count(codes ^ vantage[node]) > radius[node])
 
 
-def route(prints: np.ndarray, trees: list[tuple], ranges: list[tuple[int, int]]) -> np.ndarray:
-    """[points, trees]: the leaf of each fingerprint in each range's tree."""
+def route(prints: np.ndarray, trees: list[tuple], keys: list[list[tuple[int, int]]], finer: int) -> np.ndarray:
+    """[points, trees]: the leaf of each fingerprint in each key's tree.
+
+    A leaf of very many points is parted further by a hash of the code, 2 ** ``finer``
+    ways: at distance 0 codes are equal, and so are their hashes.
+    """
     out = np.empty((len(prints), len(trees)), dtype=np.int64)
-    for t, ((vantage, radius), (first, bits)) in enumerate(zip(trees, ranges)):
-        codes = (prints >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+    for t, ((vantage, radius), key) in enumerate(zip(trees, keys)):
+        codes = code_of(prints, key)
         node = np.ones(len(prints), dtype=np.int64)
         for _ in range(int(math.log2(len(vantage)))):
             node = descend(codes, node, vantage, radius)
-        out[:, t] = node
+        mixed = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        out[:, t] = node << finer | (mixed & np.uint64((1 << finer) - 1)).astype(np.int64)
     return out
 
 
@@ -141,23 +163,27 @@ def shard_links(prints: np.ndarray, radius: int) -> np.ndarray:
     return np.stack([linked.view(np.int64)[keep], linked.view(np.int64)[label[keep]]], axis=1)
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_pairs(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, whole: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``prints(fp)`` that join all within ``radius`` bits.
 
     Each shard returns a spanning forest of its links, not all of them, so the
     rows stay in proportion to the fingerprints however large a group is.
     """
-    ranges = _ranges(radius + 1)
     total = prints.count()
+    if whole is None:
+        # More parts must agree where one part has too few values for that many points; all choices give the same links.
+        whole = next((k for k in range(1, 5) if total <= shard << (64 * k // (radius + k))), 5)
+    keys = tree_keys(radius, whole)
     share = min(1.0, FIT_SAMPLE / max(1, total))
     sample = np.array([r.fp for r in prints.sample(share, seed=7).limit(2 * FIT_SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     depth = max(0, math.ceil(math.log2(max(1, total) / shard))) if total > shard else 0
-    trees = [grow_tree((sample >> np.uint64(f)) & np.uint64((1 << b) - 1), b, min(depth, b), seed=i) for i, (f, b) in enumerate(ranges)]
+    trees = [grow_tree(code_of(sample, key), sum(b for _, b in key), min(depth, DEPTH), seed=i) for i, key in enumerate(keys)]
+    finer = max(0, depth - DEPTH)
 
     def to_leaves(batches):
         for batch in batches:
             own = batch.column(0).to_numpy().view(np.uint64)
-            leaves = route(own, trees, ranges)
+            leaves = route(own, trees, keys, finer)
             n, t = leaves.shape
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, t).view(np.int64)), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(leaves.reshape(-1))], ["fp", "tree", "leaf"])
 
