@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.plans.scratch import materialize
+from tideline.plans.scratch import materialize, replace
 
 
 def origin_tree_order(items: DataFrame) -> DataFrame:
@@ -39,8 +39,8 @@ def origin_tree_order(items: DataFrame) -> DataFrame:
         if walk.where("next is not null").isEmpty():
             break
         ahead = walk.select("doc_id", F.col("at").alias("next"), F.col("next").alias("after"), F.col("n").alias("more"))
-        walk = walk.join(ahead, ["doc_id", "next"], "left").select("doc_id", "at", F.col("after").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-        walk = materialize(walk, "walk")
+        doubled = walk.join(ahead, ["doc_id", "next"], "left").select("doc_id", "at", F.col("after").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        walk = replace(walk, doubled, "walk")
     else:
         raise ValueError("the origins of some items form a ring")
     sizes = items.groupBy("doc_id").agg(F.count("*").alias("size"))

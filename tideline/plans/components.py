@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.plans.scratch import materialize
+from tideline.plans.scratch import materialize, replace
 
 
 def _lowest_neighbour(edges: DataFrame) -> DataFrame:
@@ -34,10 +34,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     grows with the logarithm of the longest path. Edges with a null end and
     loops are ignored.
     """
-    edges = edges.select("u", "v").where("u != v")
+    edges = materialize(edges.select("u", "v").where("u != v"), "star")
     mark = None
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "star")
+        edges = replace(edges, _small_star(_large_star(edges)), "star")
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark or not now[0]:
             break

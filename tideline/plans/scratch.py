@@ -36,13 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def replace(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """Materialize ``new``, then delete the scratch table ``old`` that it was made from: a step of a loop keeps one table."""
+    out = materialize(new, name)
+    path = getattr(old, "scratch_path", None)
+    if path:
+        sc = old.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    return out
