@@ -319,6 +319,15 @@ def test_pipeline_stages_act_on_what_came_before(spark, sf):
     assert docs.count() > 50 and corpus_pipeline.run(spark, sf).count() > 50
 
 
+def test_pipeline_stages_take_empty_tables_and_clashing_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = docs.withColumns({c: F.lit("clash") for c in ("score", "predicted", "lang_pred", "fp", "size", "row_key", "c0", "r1", "keep_id")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        out = stage(spark, wide.where("doc_id < 40"), sf)
+        assert out.count() > 0 and (name == "mixing" or out.columns == wide.columns)
+
+
 def test_eleven_queries_are_registered():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))

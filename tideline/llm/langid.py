@@ -265,7 +265,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def accepted(docs: DataFrame, model: LanguageModel, sure: float, text_col: str = "text", remembered: int = 200_000) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose language is known with a score of at least ``sure``."""
+    """The rows of ``docs``, all columns kept, whose language is known with a score of at least ``sure``.
+
+    A model without languages can judge none, and keeps all rows.
+    """
+    if not model.languages:
+        return docs
     return map_texts(docs, text_col, _identifier(model, remembered), ["string", "double"], docs.columns, where=f"r0 != '{UNKNOWN}' and r1 >= {sure}", block=512)
 
 
