@@ -149,9 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     free = own.where((_share("id", "unlabelled") < unlabelled / max(m, 1)) & F.col("text").isNotNull()).limit(2 * unlabelled).withColumn("y", F.lit(-1))
     rows = _as_features(known.select("text", "y").unionByName(free.select("text", "y")), "y").toArrow()
     y = rows.column("y").to_numpy()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float32).reshape(-1, FEATURES).astype(np.float64)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float32).reshape(-1, FEATURES)
     if not (y == 1).any() or not (y == -1).any():
-        return QualityModel(np.zeros(FEATURES), np.ones(FEATURES))
+        return QualityModel(np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32))
     prior = min(0.98, float((y[y >= 0]).mean()))
     model = train(x[y == 1], x[y == -1], prior)
     if (y == 0).any():
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scorer(model: QualityModel):
     def compute(texts: pa.Array) -> list[pa.Array]:
-        marks = model.scores(features(texts).astype(np.float64))
+        marks = model.scores(features(texts))
         return [pa.array(marks), pa.array((marks >= THRESHOLD).astype(np.int32))]
 
     return compute
