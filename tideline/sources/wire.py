@@ -35,12 +35,13 @@ def no_bytes() -> Column:
 
 def var_uint(value: Column) -> Column:
     """Seven bits a byte, lowest first, the high bit set on all but the last."""
-    digits = []
-    for i in range(9):
-        byte = F.shiftright(value, 7 * i).bitwiseAND(F.lit(127).cast("long")) + F.when(F.shiftright(value, 7 * i + 7) > 0, 128).otherwise(0)
-        text = F.lpad(F.hex(byte), 2, "0")
-        digits.append(text if i == 0 else F.when(F.shiftright(value, 7 * i) > 0, text).otherwise(""))
-    return F.unhex(F.concat(*digits))
+    last = F.floor((F.length(F.bin(value)) - 1) / 7).cast("int")
+
+    def digit(i: Column) -> Column:
+        seven = F.call_function("shiftright", value, i * 7).bitwiseAND(F.lit(127).cast("long"))
+        return F.lpad(F.hex(seven + F.when(i < last, 128).otherwise(0)), 2, "0")
+
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), last), digit), ""))
 
 
 def var_int(value: Column) -> Column:
