@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, langid, pseudo_lm, quality, simhash
+from tideline.llm import decontaminate, langid, near_copies, pseudo_lm, quality, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long"
 LONG = "alpha beta gamma delta " * 20_000
@@ -106,6 +106,49 @@ def test_components_of_awkward_rows(spark, awkward):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 5), (False, 6), (False, 7), (True, 0)]
 
 
+def test_block_links_join_all_alike_sets():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 60)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 1 << 62, 60), base)) for _ in range(150)]
+    sets += [np.unique(rng.integers(0, 1 << 62, int(n))) for n in rng.integers(1, 40, 30)]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    members = [set(s.tolist()) for s in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(members[i] & members[j]) >= 0.8 * len(members[i] | members[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    wanted = [root(i) for i in range(len(sets))]
+    parent = list(range(len(sets)))
+    found = near_copies.block_links(np.arange(len(sets)), np.concatenate(sets), np.array([len(s) for s in sets]))
+    for u, v in found:
+        assert root(u) != root(v)
+        parent[max(root(u), root(v))] = min(root(u), root(v))
+    assert [root(i) for i in range(len(sets))] == wanted
+
+
+@pytest.mark.parametrize("tile", [512, 3])
+def test_dedup_keeps_one_of_texts_that_share_four_fifths_of_their_shingles(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rng = np.random.default_rng(4)
+    rows, copies, others = [], [], []
+    for i in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for k, changed in enumerate(((), (20, 80, 140), (5, 70, 71, 130), range(0, 200, 20))):
+            text = " ".join("changed" if at in changed else w for at, w in enumerate(words))
+            rows.append((10 * i + k, text))
+            (copies if k in (1, 2) else others).append(10 * i + k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    assert any(bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[i // 10 * 10])).count("1") > simhash.RADIUS for i in copies)
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == sorted(others)
+
+
 def test_forward_algorithm_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "abc", "c", "bc"]
     table = langid.PieceTable(pieces)

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.llm import near_copies
 from tideline.llm.text import bounded_batches
 from tideline.plans.components import connected_components
 from tideline.plans.scratch import materialize
@@ -221,17 +222,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = near_copies.SHINGLE, similar: float = near_copies.SIMILAR) -> DataFrame:
     """The rows of ``docs`` that stand for their near-duplicate component: its least doc_id.
 
-    All columns are kept. Rows that repeat a doc_id are one document, of which
-    one row stays; of a component without any doc_id, one row stays too.
+    Near-duplicates share ``similar`` of their ``shingle``-word shingles or
+    more; fingerprints within a few bits would pass most of them. All columns
+    are kept. Rows that repeat a doc_id are one document, of which one row
+    stays; of a component without any doc_id, one row stays too.
     """
-    found = simhash_components(docs, id_col, text_col)
+    found = near_copies.near_copy_components(docs, id_col, text_col, shingle, similar)
     firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first_of_group")).distinct()
     nth = F.row_number().over(Window.partitionBy("_first_of_group").orderBy("_first_of_group"))
     kept = docs.join(firsts, F.col(id_col) == F.col("_first_of_group")).withColumn("_nth_of_id", nth).where("_nth_of_id = 1")
-    nameless = found.where("component_id is null").select(F.col("fingerprint").alias("_print")).distinct()
-    own = F.udf(lambda text: f"{fingerprint(text):016x}", "string")  # of rows without an id alone
+    nameless = found.where("component_id is null").select(F.col("node").alias("_print")).distinct()
+    own = F.udf(lambda text: near_copies.set_key(near_copies.shingle_set(text, shingle)), "long")  # of rows without an id alone
     lost = docs.where(F.col(id_col).isNull()).withColumn("_print", own(F.col(text_col))).join(nameless, "_print").dropDuplicates(["_print"])
     return kept.select(docs.columns).unionByName(lost.select(docs.columns))
