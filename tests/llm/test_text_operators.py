@@ -247,6 +247,27 @@ def test_training_raises_the_pseudo_likelihood(spark, monkeypatch):
     assert trained > score()
 
 
+def test_every_word_is_a_training_target_once():
+    counts = np.array([1, 0, 3, 40, 2, 1])
+    places = [pseudo_lm.masked_places(counts, phase) for phase in range(pseudo_lm.ROUNDS)]
+    assert sorted(np.concatenate(places).tolist()) == list(range(counts.sum()))
+    apart = [pseudo_lm.masked_places(counts[3:], phase) + counts[:3].sum() for phase in range(pseudo_lm.ROUNDS)]
+    assert all(set(a.tolist()) <= set(p.tolist()) for a, p in zip(apart, places))
+
+
+def test_training_takes_every_word_of_the_corpus(spark, sf, monkeypatch, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+
+    def step(self, context, wanted, log=str(tmp_path / "steps")):
+        self.examples += len(wanted)
+        with open(log, "a") as f:
+            f.write(f"{len(wanted)}\n")
+
+    monkeypatch.setattr(pseudo_lm.Trainer, "step", step)
+    words = pseudo_lm.fit_and_score(docs).agg(F.sum("n_words")).first()[0]
+    assert sum(map(int, (tmp_path / "steps").read_text().split())) == words
+
+
 def test_class_probabilities_sum_to_one():
     counts = np.array([50.0, 20, 10, 5, 5, 3, 2, 5])
     word_class, within = pseudo_lm.classes_of(counts, 4)

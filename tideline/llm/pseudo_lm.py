@@ -20,8 +20,8 @@ from tideline.llm.text import bounded_batches, word_lists
 from tideline.plans.scratch import materialize
 
 WORDS, CLASSES, SIDE, WIDTH, HIDDEN = 8191, 128, 2, 12, 24
-#: One place in STRIDE is masked in a round of training, another in the next, in every document.
-STRIDE, ROUNDS = 16, 2
+#: Each round of training masks every ROUNDS-th place of each document, the next round the places after them: all places once.
+ROUNDS = 2
 #: Tasks that train side by side at most; each streams its share of the corpus.
 TRAINERS = 4096
 #: A word outside the vocabulary is spelled, each letter one of so many.
@@ -146,6 +146,12 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def masked_places(counts: np.ndarray, phase: int) -> np.ndarray:
+    """The places of round ``phase`` in documents of ``counts`` words that lie one after another, by their place within the document."""
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.flatnonzero(within % ROUNDS == phase)
+
+
 def train_round(encoded: DataFrame, model: WindowModel, phase: int, batch_size: int = 1024) -> list[np.ndarray]:
     """Each task trains from the model's parameters on its documents; the result is the tasks' mean, weighted by use."""
     outside = len(model.vocabulary) + 1
@@ -156,7 +162,7 @@ def train_round(encoded: DataFrame, model: WindowModel, phase: int, batch_size:
             for at in range(0, batch.num_rows, 1024):
                 ids, counts = _lists(batch.column(0).slice(at, 1024))
                 flat, places = padded(ids, counts, outside)
-                masked = np.flatnonzero((np.arange(len(ids), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(STRIDE) == phase)
+                masked = masked_places(counts, phase)
                 context, wanted = contexts(flat, places[masked]), model.word_class[ids[masked]]
                 for i in range(0, len(masked), batch_size):
                     trainer.step(context[i : i + batch_size], wanted[i : i + batch_size])
@@ -180,8 +186,8 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_words, log_prob, mean_log_prob) of every row of ``docs`` under a model trained on all of them.
 
     Words are lower-cased runs of letters and digits of the whole text. The
-    vocabulary is the corpus' 8,191 most frequent words; counts, training
-    places and scores come from every document. A text without words, or null,
+    vocabulary is the corpus' 8,191 most frequent words; counts and scores come
+    from every document, and every word is a training target once. A text without words, or null,
     has 0 words, log_prob 0 and no mean. Repeated rows get equal scores; other
     columns are ignored; an empty table gives an empty result.
     """
