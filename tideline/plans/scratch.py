@@ -44,9 +44,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def replace(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     """Materialize ``new``, then delete the scratch table ``old`` that it was made from: a step of a loop keeps one table."""
     out = materialize(new, name)
-    path = getattr(old, "scratch_path", None)
-    if path:
-        sc = old.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    discard(old)
     return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later plan reads; other DataFrames are left alone."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            delete_folder(table.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
