@@ -38,7 +38,9 @@ def test_examples_and_their_masks(spark):
     masked = [e.formatted[e.loss_start : e.loss_start + e.loss_chars] for e in by[3]]
     assert masked == ["only", "only"]
     back = {r.conv_id: r for r in chat.read_back(chat.chat_examples(turns)).collect()}
-    for conv in (1, 2, 3, None):
+    alone = sorted((r.n_turns, r.loss_chars) for r in chat.read_back(chat.chat_examples(turns)).collect() if r.conv_id is None)
+    assert alone == [(1, 0), (1, 1)]
+    for conv in (1, 2, 3):
         own = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
         said = "".join(f"{role}\n{text}\n" for _, _, role, text in own)
         loss = "".join(text for _, _, role, text in own if role == "assistant")
@@ -277,7 +279,7 @@ def test_licences(spark):
             ("d/COPYING", None, "none", None),
             ("d/x.txt", None, "none", None),
             ("e.txt", None, "none", None),
-            ("", None, "none", None),
+            ("", "CC-BY-4.0", "own", None),
             ("a/b/empty", "Apache-2.0", "inherited", "a"),
             ("ab/x", None, "none", None),
             ("f/g/UNLICENSE", "Unlicense", "own", None),

@@ -15,11 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: each lies at source/id div 1000/id div 100/id, and one that opens with a statement is its directory's licence file."""
-    steps = [F.col("source"), *(F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100)), F.col("doc_id").cast("string")]
-    files = _table(spark, sf_dir, "documents").select(F.concat_ws("/", *steps).alias("path"), "text")
+    """A document that opens with a statement is its directory's licence file."""
+    path = licenses.document_path(F.col("doc_id"), F.col("source"))
+    files = _table(spark, sf_dir, "documents").select(path.alias("path"), "text", "doc_id")
     opens = F.substring_index("text", "\n", 1).rlike("(?i)" + "|".join(licenses.ANCHORS))
-    return licenses.scan(files, licence_file=opens).withColumn("doc_id", F.regexp_extract("path", "[^/]*$", 0).cast("long"))
+    return licenses.scan(files, licence_file=opens, keep=("doc_id",))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
