@@ -23,8 +23,10 @@ from tideline.llm.text import bounded_batches, map_texts, word_lists
 UNKNOWN = "und"
 #: Probability of a character that no piece covers, in every language.
 STRAY = 1e-7
-#: Code points of the longest word part scored at once. Longer runs of letters are cut into such parts.
-PART = 24
+#: Code points of words whose probabilities a double holds as they are; longer words are summed in logarithms.
+PLAIN = 40
+#: Runs of letters and the marks that belong to them.
+LETTERS = r"\p{L}\p{M}"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,14 +105,15 @@ class PieceTable:
                 yield start, end, *self.find(acc)
 
 
-def by_length(words: list[str], block: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, code points) of words of one length, ▁ put first, in blocks."""
+def by_length(words: list[str], languages: int = 1, block: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, code points) of words of one length up to PLAIN, ▁ put first, in blocks."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    for n in np.unique(lengths):
+    for n in np.unique(lengths[lengths <= PLAIN]):
         at = np.flatnonzero(lengths == n)
-        for i in range(0, len(at), block):
-            own = at[i : i + block]
-            codes = np.frombuffer(("▁" + "▁".join([words[j] for j in own])).encode("utf-32-le"), dtype=np.uint32).reshape(len(own), n + 1)
+        step = max(64, block * 4 // (languages + 3))
+        for i in range(0, len(at), step):
+            own = at[i : i + step]
+            codes = np.frombuffer(("▁" + "▁".join([words[j] for j in own])).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(own), n + 1)
             yield own, np.ascontiguousarray(codes.T.astype(np.uint64))
 
 
@@ -128,26 +131,60 @@ def forward(codes: np.ndarray, table: PieceTable, probs: np.ndarray) -> np.ndarr
     return alpha
 
 
-def parts_of(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words cut into parts of at most PART code points, and the word of each part."""
-    parts = [(w[i : i + PART], j) for j, w in enumerate(words) for i in range(0, max(1, len(w)), PART)]
-    return [p for p, _ in parts], np.array([j for _, j in parts], dtype=np.int64)
+class LongWord:
+    """All spans of one long word that a piece covers, and the recursions over them in logarithms."""
+
+    def __init__(self, word: str, table: PieceTable):
+        codes = np.frombuffer(("▁" + word).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        self.length, acc = len(codes), np.zeros(len(codes), dtype=np.uint64)
+        at = np.arange(self.length)
+        starts, ends, pieces = [at], [at + 1], [np.full(self.length, table.size)]
+        for n in range(1, min(self.length, table.longest) + 1):
+            acc = _hash_steps(codes[n - 1 :], acc[: self.length - n + 1])
+            hit, piece = table.find(acc)
+            starts.append(hit), ends.append(hit + n), pieces.append(piece)
+        self.start, self.end, self.piece = (np.concatenate(x) for x in (starts, ends, pieces))
+
+    def _sweep(self, own: np.ndarray, other: np.ndarray, logs: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """[length + 1, languages]: log sums over the spans that end at each place, ``own`` being where they lead to."""
+        out = np.zeros((self.length + 1, logs.shape[1]))
+        by = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[by], np.arange(self.length + 2))
+        for place in order:
+            spans = by[cuts[place] : cuts[place + 1]]
+            terms = out[other[spans]] + logs[self.piece[spans]]
+            most = terms.max(axis=0)
+            out[place] = most + np.log(np.exp(terms - most).sum(axis=0))
+        return out
+
+    def alpha(self, logs: np.ndarray) -> np.ndarray:
+        return self._sweep(self.end, self.start, logs, np.arange(1, self.length + 1))
+
+    def beta(self, logs: np.ndarray) -> np.ndarray:
+        return self._sweep(self.start, self.end, logs, np.arange(self.length - 1, -1, -1))
+
+
+def log_table(probs: np.ndarray) -> np.ndarray:
+    """Log probabilities of the pieces, then of a stray character."""
+    return np.log(np.vstack([probs, np.full((1, probs.shape[1]), STRAY)]))
 
 
 def word_scores(words: list[str], table: PieceTable, probs: np.ndarray) -> np.ndarray:
-    """[words, languages]: the log probability of each word under each language."""
+    """[words, languages]: the log probability of each whole word under each language."""
     out = np.zeros((len(words), probs.shape[1]))
-    parts, owner = parts_of(words)
-    for own, codes in by_length(parts):
-        np.add.at(out, owner[own], np.log(forward(codes, table, probs)[-1]))
+    for own, codes in by_length(words, probs.shape[1]):
+        out[own] = np.log(forward(codes, table, probs)[-1])
+    logs = None
+    for i, word in enumerate(words):
+        if len(word) > PLAIN:
+            logs = log_table(probs) if logs is None else logs
+            out[i] = LongWord(word, table).alpha(logs)[-1]
     return out
 
 
 def expected_counts(words: list[str], weights: np.ndarray, table: PieceTable, probs: np.ndarray) -> np.ndarray:
     """[pieces]: how often each piece is used, in expectation over the segmentations of the weighted words."""
-    counts = np.zeros(table.size)
-    words, owner = parts_of(words)
-    weights = np.asarray(weights)[owner]
+    counts, weights = np.zeros(table.size + 1), np.asarray(weights, dtype=float)
     for own, codes in by_length(words):
         length, n = codes.shape
         spans = list(table.at_ends(codes))
@@ -160,8 +197,15 @@ def expected_counts(words: list[str], weights: np.ndarray, table: PieceTable, pr
             beta[start, hit] += probs[piece] * beta[end, hit]
         share = weights[own] / alpha[length]
         used = [(piece, alpha[start, hit] * probs[piece] * beta[end, hit] * share[hit]) for start, end, hit, piece in spans if len(hit)]
-        counts += np.bincount(np.concatenate([p for p, _ in used]), np.concatenate([c for _, c in used]), minlength=table.size) if used else 0
-    return counts
+        counts += np.bincount(np.concatenate([p for p, _ in used]), np.concatenate([c for _, c in used]), minlength=table.size + 1) if used else 0
+    logs = None
+    for word, weight in zip(words, weights):
+        if len(word) > PLAIN:
+            logs = log_table(probs[:, None]) if logs is None else logs
+            w = LongWord(word, table)
+            alpha, beta = w.alpha(logs)[:, 0], w.beta(logs)[:, 0]
+            counts += weight * np.bincount(w.piece, np.exp(alpha[w.start] + logs[w.piece, 0] + beta[w.end] - alpha[-1]), minlength=table.size + 1)
+    return counts[: table.size]
 
 
 @dataclass
@@ -179,7 +223,9 @@ def fit(labelled: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     The fit takes about ``docs_per_language`` rows of each language, chosen by
     a hash of the id (all rows of rarer languages). Words are counted and the
     expected piece counts summed by Spark; the driver holds only the table of
-    pieces by languages. Without any labelled row the model has no language.
+    pieces by languages, which grows with the number of distinct labels. Rows
+    without a language or text teach nothing. Without any labelled row the
+    model has no language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -193,7 +239,7 @@ def fit(labelled: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
     def words(batches):
         for batch in batches:
-            found, counts = word_lists(batch.column(1), r"\p{L}")
+            found, counts = word_lists(batch.column(1), LETTERS)
             yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(np.repeat(np.arange(batch.num_rows), counts))), found], ["lang", "word"])
 
     counted = bounded_batches(chosen.select("lang", "text")).mapInArrow(words, "lang string, word string").groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).persist()
@@ -211,8 +257,8 @@ def fit(labelled: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
         summed = counted.mapInArrow(count, "piece long, language long, n double").groupBy("piece", "language").agg(F.sum("n").alias("n"))
         fresh = np.full_like(probs, smoothing)
-        for r in summed.collect():
-            fresh[r["piece"], r["language"]] += r["n"]
+        found = summed.toArrow()  # at most pieces times languages
+        fresh[found.column("piece").to_numpy(), found.column("language").to_numpy()] += found.column("n").to_numpy()
         probs = fresh / fresh.sum(axis=0)
     counted.unpersist()
     return LanguageModel(pieces, languages, probs)
@@ -225,8 +271,8 @@ def _identifier(model: LanguageModel, remembered: int):
     held = [np.empty((0, len(languages)))]
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        found, counts = word_lists(texts, r"\p{L}")
-        lettered = counts > 0
+        found, counts = word_lists(texts, LETTERS)
+        lettered = pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}").to_numpy(zero_copy_only=False)
         if not languages or not lettered.any():
             return [pa.array([UNKNOWN] * len(texts)), pa.array(np.zeros(len(texts)))]
         coded = found.dictionary_encode()
@@ -239,8 +285,8 @@ def _identifier(model: LanguageModel, remembered: int):
         held[0] = np.concatenate([held[0], word_scores(new, table, model.probs)])
         own = held[0][np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))]
         per_word = own[coded.indices.to_numpy(zero_copy_only=False)]
-        total = np.zeros((len(counts), len(languages)))
-        total[lettered] = np.add.reduceat(per_word, (np.cumsum(counts) - counts)[lettered], axis=0)
+        total, any_word = np.zeros((len(counts), len(languages))), counts > 0
+        total[any_word] = np.add.reduceat(per_word, (np.cumsum(counts) - counts)[any_word], axis=0)
         scaled = total / np.sqrt(np.maximum(counts, 1))[:, None]
         share = np.exp(scaled - scaled.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
@@ -256,9 +302,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     A text's score is the probability of its language given the whole text, with
     equal priors, softened by the root of its number of words: the words of a
     text aren't independent. ``und`` with score 0 where the text is null, has no
-    letter, or the model knows no language. Long runs of letters are scored in
-    parts. A task remembers the scores of up to ``remembered`` words. Repeated
-    rows get equal results; other columns are ignored.
+    letter, or the model knows no language. Words are whole runs of letters and
+    marks, however long. Of languages that tie, the first in order of name
+    counts. A task remembers the scores of up to ``remembered`` words. Repeated
+    rows get equal results; other columns are ignored; an empty table gives an
+    empty result.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return map_texts(own, "text", _identifier(model, remembered), ["string", "double"], ["doc_id"], names=["lang_pred", "score"], block=512)
@@ -267,7 +315,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def accepted(docs: DataFrame, model: LanguageModel, sure: float, text_col: str = "text", remembered: int = 200_000) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose language is known with a score of at least ``sure``.
 
-    A model without languages can judge none, and keeps all rows.
+    A model without languages can judge none, and keeps all rows. Null, empty
+    and letterless texts have no language and go; long texts are read whole;
+    repeated rows share one fate; an empty table stays empty; columns of any
+    name pass through.
     """
     if not model.languages:
         return docs
