@@ -35,13 +35,14 @@ def chat_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     and with it, and the loss mask is the ``loss_chars`` code points from
     ``loss_start`` (0-based), that turn's escaped text. Turns after the last assistant turn, and
     conversations without one, make a last example with an empty mask, so that
-    no turn is lost. A null role or text is empty; rows without a conv_id are
-    one conversation; turns stand in order of turn (null first), then role and
-    text, so ties and repeated rows have one order. Other columns are ignored.
+    no turn is lost. A null role or text is empty; each row without a conv_id
+    is a conversation of its own; turns stand in order of turn (null first),
+    then role and text, so ties and repeated rows have one order. Long texts
+    are kept whole. Other columns are ignored; an empty table has no examples.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("turns"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("t"), _alone(conv_col))
+    whole = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("turns"))
     head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT))
     parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(escape(t["text"]), F.lit(END)).alias("body"), (t["role"] == TRAINED_ROLE).alias("trained")))
     whole = whole.select("conv_id", parts.alias("parts"))
@@ -58,6 +59,11 @@ def chat_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     )
 
 
+def _alone(conv_col: str) -> Column:
+    """A number for each row without a conversation, so that such rows never meet in one group."""
+    return F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).alias("alone")
+
+
 def _by_turn(a: Column, b: Column) -> Column:
     """Order of turns for array_sort: turn (null first), role, text."""
     turn = F.when(a["turn"].isNull() & b["turn"].isNull(), 0).when(a["turn"].isNull(), -1).when(b["turn"].isNull(), 1)
@@ -70,11 +76,12 @@ def read_back(examples: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from formatted examples.
 
     The last example of a conversation holds all its turns. Masked texts are
-    cut out by their offsets and join in the order of the examples.
+    cut out by their offsets and join in the order of the examples. Each
+    example without a conv_id is read for itself.
     """
     masked = F.substring(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int"))
-    own = examples.select("conv_id", "example", "formatted", unescape(masked).alias("loss"))
-    whole = own.groupBy("conv_id").agg(
+    own = examples.select("conv_id", "example", "formatted", unescape(masked).alias("loss"), _alone("conv_id"))
+    whole = own.groupBy("conv_id", "alone").agg(
         F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"])).alias("loss"),
         F.max_by("formatted", "example").alias("longest"),
         F.sum(F.char_length("formatted")).cast("long").alias("formatted_chars"),
