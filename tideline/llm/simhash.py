@@ -1,16 +1,20 @@
-"""SimHash near-duplicates, found by vantage-point trees over parts of the fingerprint.
-
-A vantage-point tree over whole 64-bit fingerprints cannot prune at a radius of
-4: distances to any vantage point lie within a few bits of 32, so each level
-sends more than a third of the points to both children. The tree therefore
-works where its triangle bound is sharp. Two fingerprints within ``radius`` bits
-of each other agree in full on at least one of ``radius + 1`` bit ranges, so one
-tree is grown over each range with the Hamming distance of that range: points
-at range distance 0 have equal distances to every vantage point and share a
-leaf, and the search needs no second branch. Leaves are the shards; every pair
-in a shard is compared over all 64 bits, so no link is lost and none is false.
-Where one range has too few values for the number of points, the trees are over
-all choices of two or more ranges out of more, of which one is intact as well.
+"""SimHash near-duplicates by vantage-point trees over the fingerprints.
+
+A node of a tree has a vantage point and a radius: fingerprints within the
+radius lie inside, the others outside. The leaves are shards. Every fingerprint
+has its home in one leaf. One that lies so near a node's border that the
+triangle bound can't rule out neighbours on the other side also probes that
+side, and there every branch that the bound leaves open; so shards overlap at
+their borders, all other branches are pruned, and each linked pair meets in a
+shard. There both are compared over all 64 bits: no link is lost, none false.
+
+Distances among 64-bit fingerprints crowd around 32, so at a radius of 4 a level
+prunes no more than a third of the branches that a probe could take, and probes
+grow by about 1.68 a level. One tree therefore serves up to TREE_POINTS
+fingerprints. Of more, each tree holds those that agree on some bit ranges:
+``radius`` differing bits touch at most ``radius`` parts of the 64 bits, so any
+linked pair agrees in full on a choice of the other parts and meets in the tree
+of that choice, which stays small.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from tideline.plans.scratch import materialize
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
-#: Points that one shard holds; larger leaves are compared tile by tile.
+#: Points that one shard is home to, about; larger leaves are compared tile by tile.
 SHARD = 2048
+#: Fingerprints that one tree holds, about.
+TREE_POINTS = 1 << 20
 #: Fingerprints from which the trees' thresholds are taken. Any trees give exact pairs; the sample only balances them.
-FIT_SAMPLE = 1 << 14
+FIT_SAMPLE = 1 << 16
 #: Levels of a tree at most.
-DEPTH = 12
+DEPTH = 10
 
 _SPREAD = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], dtype=np.uint64)
 
@@ -94,68 +100,71 @@ def tree_keys(radius: int, whole: int) -> list[list[tuple[int, int]]]:
 
 
 def code_of(prints: np.ndarray, key: list[tuple[int, int]]) -> np.ndarray:
-    """The bits of a key, side by side."""
+    """The bits of a key, side by side; 0 for a key without ranges."""
     out = np.zeros(len(prints), dtype=np.uint64)
     for first, bits in key:
         out = out << np.uint64(bits) | (prints >> np.uint64(first)) & np.uint64((1 << bits) - 1)
     return out
 
 
-def grow_tree(codes: np.ndarray, bits: int, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A complete vantage-point tree of ``depth`` levels: (vantage, radius) by heap index.
+def rest_of(key: list[tuple[int, int]]) -> np.uint64:
+    """A mask of the bits outside a key: fingerprints that agree on the key differ there alone."""
+    held = sum(((1 << bits) - 1) << first for first, bits in key)
+    return np.uint64((1 << 64) - 1 - held)
 
-    Each node takes a random vantage point among its codes and splits at their
-    median distance to it.
+
+def grow_tree(sample: np.ndarray, mask: np.uint64, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A complete vantage-point tree of ``depth`` levels over the bits of ``mask``: (vantage, radius) by heap index.
+
+    Each node takes a random vantage point among its fingerprints and the radius
+    that parts them most evenly.
     """
     rng = np.random.default_rng(seed)
-    vantage = rng.integers(0, 1 << bits, 1 << depth, dtype=np.uint64)
-    radius = np.full(1 << depth, bits // 2, dtype=np.int64)
-    node = np.ones(len(codes), dtype=np.int64)
-    for level in range(depth):
-        for at in np.unique(node):
-            own = codes[node == at]
-            vantage[at] = own[rng.integers(len(own))]
-            radius[at] = int(np.median(np.bitwise_count(own ^ vantage[at])))
-        node = descend(codes, node, vantage, radius)
+    vantage = rng.integers(0, 1 << 64, 1 << depth, dtype=np.uint64, endpoint=False)
+    radius = np.full(1 << depth, int(mask).bit_count() // 2, dtype=np.int64)
+    node = np.ones(len(sample), dtype=np.int64)
+    for _ in range(depth):
+        by = np.argsort(node, kind="stable")
+        cuts = np.flatnonzero(np.diff(node[by])) + 1
+        for own in np.split(by, cuts) if len(by) else ():
+            at = node[own[0]]
+            vantage[at] = sample[own[rng.integers(len(own))]]
+            share = np.cumsum(np.bincount(np.bitwise_count((sample[own] ^ vantage[at]) & mask), minlength=65)) / len(own)
+            radius[at] = int(np.argmin(np.abs(share - 0.5)))
+        node = 2 * node + (np.bitwise_count((sample ^ vantage[node]) & mask) > radius[node])
     return vantage, radius
 
 
-def descend(codes: np.ndarray, node: np.ndarray, vantage: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """The child of ``node`` that each code lies in: left within the radius, else right."""
-    return 2 * node + (np.bitwise_count(codes ^ vantage[node]) > radius[node])
-
-
-def route(prints: np.ndarray, trees: list[tuple], keys: list[list[tuple[int, int]]], finer: int) -> np.ndarray:
-    """[points, trees]: the leaf of each fingerprint in each key's tree.
+def route(prints: np.ndarray, tree: tuple[np.ndarray, np.ndarray], mask: np.uint64, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, leaf, probes) of every visit of the fingerprints to a leaf: each point's home, and the leaves that it probes.
 
-    A leaf of very many points is parted further by a hash of the code, 2 ** ``finer``
-    ways: at distance 0 codes are equal, and so are their hashes.
+    A pair is met once: where a node parts it, the point inside probes the
+    outside. A probe follows every branch that may hold a point within ``near``.
     """
-    out = np.empty((len(prints), len(trees)), dtype=np.int64)
-    for t, ((vantage, radius), key) in enumerate(zip(trees, keys)):
-        codes = code_of(prints, key)
-        node = np.ones(len(prints), dtype=np.int64)
-        for _ in range(int(math.log2(len(vantage)))):
-            node = descend(codes, node, vantage, radius)
-        mixed = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        out[:, t] = node << finer | (mixed & np.uint64((1 << finer) - 1)).astype(np.int64)
-    return out
+    vantage, radius = tree
+    point, node, probes = np.arange(len(prints)), np.ones(len(prints), dtype=np.int64), np.zeros(len(prints), dtype=bool)
+    for _ in range(len(vantage).bit_length() - 1):
+        d = np.bitwise_count((prints[point] ^ vantage[node]) & mask).astype(np.int64) - radius[node]
+        inside = np.where(probes, d <= near, d <= 0)
+        outside = np.where(probes, d > -near, d > 0)
+        across = ~probes & (d <= 0) & (d > -near)
+        parts = [(inside, 0, probes), (outside, 1, probes), (across, 1, np.ones(len(probes), dtype=bool))]
+        point, node, probes = (np.concatenate(x) for x in zip(*((point[m], 2 * node[m] + side, p[m]) for m, side, p in parts)))
+    return point, node, probes
 
 
 def shard_links(prints: np.ndarray, radius: int) -> np.ndarray:
     """[links, 2]: each linked fingerprint with the least of its component within the shard."""
-    n = len(prints)
-    near = np.zeros(n, dtype=bool)
+    n, near = len(prints), np.zeros(len(prints), dtype=bool)
+    close = lambda one, all_: np.bitwise_count(one[:, None] ^ all_[None, :]) <= radius
     for i in range(0, n, 256):
-        block = np.bitwise_count(prints[i : i + 256, None] ^ prints[None, :]) <= radius
-        near[i : i + 256] = block.sum(axis=1) > 1
+        near[i : i + 256] = close(prints[i : i + 256], prints).sum(axis=1) > 1
     linked = np.sort(prints[near].view(np.int64)).view(np.uint64)
     label = np.arange(len(linked))
     if not len(linked):
         return np.empty((0, 2), dtype=np.int64)
-    close = np.concatenate([np.bitwise_count(linked[i : i + 256, None] ^ linked[None, :]) <= radius for i in range(0, len(linked), 256)])
     while True:
-        least = np.concatenate([np.where(close[i : i + 256], label[None, :], len(label)).min(axis=1) for i in range(0, len(label), 256)])
+        least = np.concatenate([np.where(close(linked[i : i + 256], linked), label[None, :], len(label)).min(axis=1) for i in range(0, len(label), 256)])
         least = np.minimum(least, least[least])
         if (least == label).all():
             break
@@ -164,42 +173,64 @@ def shard_links(prints: np.ndarray, radius: int) -> np.ndarray:
     return np.stack([linked.view(np.int64)[keep], linked.view(np.int64)[label[keep]]], axis=1)
 
 
+def across_links(homes: np.ndarray, probes: np.ndarray, radius: int) -> np.ndarray:
+    """Links that join every probe with the homes within ``radius`` of it."""
+    home, probe = np.zeros(len(homes), dtype=bool), np.zeros(len(probes), dtype=bool)
+    for i in range(0, len(probes), 256):
+        close = np.bitwise_count(probes[i : i + 256, None] ^ homes[None, :]) <= radius
+        probe[i : i + 256] = close.any(axis=1)
+        home |= close.any(axis=0)
+    return shard_links(np.union1d(homes[home], probes[probe]), radius)
+
+
 def near_pairs(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, whole: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``prints(fp)`` that join all within ``radius`` bits.
 
     Each shard returns a spanning forest of its links, not all of them, so the
     rows stay in proportion to the fingerprints however large a group is.
+    ``whole`` is how many bit ranges the fingerprints of one tree agree on; by
+    default as few as keep a tree to about TREE_POINTS. Any choice gives the
+    same links.
     """
     total = prints.count()
     if whole is None:
-        # More parts must agree where one part has too few values for that many points; all choices give the same links.
-        whole = next((k for k in range(1, 5) if total <= shard << (64 * k // (radius + k))), 5)
+        whole = next((k for k in range(5) if total <= TREE_POINTS << (64 * k // (radius + k))), 5)
     keys = tree_keys(radius, whole)
     share = min(1.0, FIT_SAMPLE / max(1, total))
-    sample = np.array([r.fp for r in prints.sample(share, seed=7).limit(2 * FIT_SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    depth = max(0, math.ceil(math.log2(max(1, total) / shard))) if total > shard else 0
-    trees = [grow_tree(code_of(sample, key), sum(b for _, b in key), min(depth, DEPTH), seed=i) for i, key in enumerate(keys)]
-    finer = max(0, depth - DEPTH)
+    sample = prints.sample(share, seed=7).limit(2 * FIT_SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64)
+    in_tree = max(1, total >> (64 * whole // (radius + whole)))
+    depth = min(DEPTH, max(0, math.ceil(math.log2(in_tree / shard)))) if in_tree > shard else 0
+    masks = [rest_of(key) for key in keys]
+    trees = [grow_tree(sample, mask, depth, seed=i) for i, mask in enumerate(masks)]
 
     def to_leaves(batches):
         for batch in batches:
             own = batch.column(0).to_numpy().view(np.uint64)
-            leaves = route(own, trees, keys, finer)
-            n, t = leaves.shape
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, t).view(np.int64)), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(leaves.reshape(-1))], ["fp", "tree", "leaf"])
+            for i, (key, mask, tree) in enumerate(zip(keys, masks, trees)):
+                point, leaf, probes = route(own, tree, mask, radius)
+                fps = own[point]
+                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(np.full(len(fps), i, dtype=np.int32)), pa.array(code_of(fps, key).view(np.int64)), pa.array(leaf.astype(np.int32)), pa.array(probes)], ["fp", "tree", "code", "leaf", "probes"])
 
     def links(key, table):
-        found = shard_links(np.unique(table.column("fp").to_numpy()).view(np.uint64), radius)
+        fps, probes = (table.column(c).to_numpy() for c in ("fp", "probes"))
+        fps = fps.view(np.uint64)
+        found = across_links(np.unique(fps[~probes]), np.unique(fps[probes]), radius) if key[3].as_py() else shard_links(np.unique(fps), radius)
         return pa.table({"u": found[:, 0], "v": found[:, 1]})
 
-    routed = materialize(prints.select("fp").mapInArrow(to_leaves, "fp long, tree int, leaf long"), "leaves")
-    sizes = routed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / shard).cast("int").alias("tiles"))
-    # A leaf of several tiles is compared tile against tile: each point goes to one group for every tile of its leaf.
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int")
-    tiled = routed.join(sizes, ["tree", "leaf"]).withColumn("own", own)
-    dealt = tiled.select("fp", "tree", "leaf", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    groups = dealt.select("fp", "tree", "leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    return groups.groupBy("tree", "leaf", "a", "b").applyInArrow(links, "u long, v long")
+    place = ["tree", "code", "leaf"]
+    routed = materialize(prints.select("fp").mapInArrow(to_leaves, "fp long, tree int, code long, leaf int, probes boolean"), "leaves")
+    tiles = lambda probes, size: F.ceil(F.sum((F.col("probes") == probes).cast("long")) / size).cast("int")
+    sizes = routed.groupBy(place).agg(tiles(False, shard).alias("homes"), tiles(True, 4 * shard).alias("visits"))
+    # A leaf's home tiles meet each other (across 0), and each of them each tile of its probes (across 1).
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("probes"), F.col("visits")).otherwise(F.col("homes")).cast("long")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    meet = lambda across, a, b: F.struct(F.lit(across).alias("across"), a.alias("a"), b.alias("b"))
+    with_homes = F.transform(upto("homes"), lambda t: meet(0, F.least("own", t), F.greatest("own", t)))
+    with_probes = F.when(F.col("visits") > 0, F.transform(upto("visits"), lambda t: meet(1, F.col("own"), t)))
+    as_probe = F.transform(upto("homes"), lambda t: meet(1, t, F.col("own")))
+    groups = F.when(F.col("probes"), as_probe).when(F.col("visits") > 0, F.concat(with_homes, with_probes)).otherwise(with_homes)
+    dealt = routed.join(sizes, place).where("homes > 0").withColumn("own", own).select("fp", "probes", *place, F.inline(groups))
+    return dealt.groupBy("tree", "code", "leaf", "across", "a", "b").applyInArrow(links, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -210,31 +241,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text has fingerprint zero and is linked like any other. Repeated rows come
     back as often as they went in; a null doc_id counts only where no other
     doc_id is reachable (component_id is then null). Other columns of ``docs``
-    are ignored. An empty table gives an empty result.
+    are ignored, long texts hashed whole. An empty table gives an empty result.
     """
     prints = materialize(with_fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
     links = materialize(near_pairs(distinct, radius).distinct(), "links")
-    roots = connected_components(links)
-    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_print = labelled.join(least, "root").select("fp", "component_id")
+    # A fingerprint stands as its least document, so that the root of a component is the component's least document.
+    node = distinct.select("fp", F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "fp").alias("node"))
+    edges = links.join(node.withColumnsRenamed({"fp": "u", "node": "a"}), "u").join(node.withColumnsRenamed({"fp": "v", "node": "b"}), "v")
+    roots = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    moved = roots.select(F.col("node.fp").alias("fp"), F.col("root.doc_id").alias("least"), F.lit(True).alias("linked"))
+    by_print = distinct.join(moved, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = near_copies.SHINGLE, similar: float = near_copies.SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stand for their near-duplicate component: its least doc_id.
+    """One row of ``docs`` for each component of near-duplicates: that of the least doc_id, all columns kept.
 
     Near-duplicates share ``similar`` of their ``shingle``-word shingles or
-    more; fingerprints within a few bits would pass most of them. All columns
-    are kept. Rows that repeat a doc_id are one document, of which one row
-    stays; of a component without any doc_id, one row stays too.
+    more; fingerprints within a few bits would pass most of them. Of one id the
+    text of least hash stays, of equal rows one; rows without an id stay only
+    where their component has none with an id. Null, empty and wordless texts
+    are one component; long texts are compared whole; an empty table stays
+    empty; columns of any name pass through.
     """
-    found = near_copies.near_copy_components(docs, id_col, text_col, shingle, similar)
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first_of_group")).distinct()
-    nth = F.row_number().over(Window.partitionBy("_first_of_group").orderBy("_first_of_group"))
-    kept = docs.join(firsts, F.col(id_col) == F.col("_first_of_group")).withColumn("_nth_of_id", nth).where("_nth_of_id = 1")
-    nameless = found.where("component_id is null").select(F.col("node").alias("_print")).distinct()
-    own = F.udf(lambda text: near_copies.set_key(near_copies.shingle_set(text, shingle)), "long")  # of rows without an id alone
-    lost = docs.where(F.col(id_col).isNull()).withColumn("_print", own(F.col(text_col))).join(nameless, "_print").dropDuplicates(["_print"])
-    return kept.select(docs.columns).unionByName(lost.select(docs.columns))
+    firsts = near_copies.first_rows(docs, id_col, text_col, shingle, similar)
+    firsts = firsts.select(F.col("doc_id").alias("_first_id"), F.col("text_key").alias("_first_text"))
+    same = docs[id_col].eqNullSafe(firsts["_first_id"]) & (F.xxhash64(docs[text_col]) == firsts["_first_text"])
+    nth = F.row_number().over(Window.partitionBy("_first_id", "_first_text").orderBy("_first_id"))
+    return docs.join(firsts, same).withColumn("_nth_of_row", nth).where("_nth_of_row = 1").select(docs.columns)
