@@ -39,7 +39,7 @@ RADIUS = 4
 #: Points that one shard is home to, about; larger leaves are compared tile by tile.
 SHARD = 2048
 #: Fingerprints that one tree holds, about.
-TREE_POINTS = 1 << 20
+TREE_POINTS = 1 << 15
 #: Fingerprints from which the trees' thresholds are taken. Any trees give exact pairs; the sample only balances them.
 FIT_SAMPLE = 1 << 16
 #: Levels of a tree at most.
