@@ -14,13 +14,20 @@ def utf16_length(text: Column) -> Column:
 def utf16_slice(text: Column, start: Column | int, length: Column | int) -> Column:
     """The text of ``length`` code units from ``start`` (0-based) on; half of a surrogate pair becomes U+FFFD."""
     start, length = (x if isinstance(x, Column) else F.lit(x) for x in (start, length))
+
+    def ends(units: Column) -> Column:
+        # Each half of a pair would fail to decode, so it is replaced first, at either end.
+        low, high = (F.hex(F.substring(units, at, 2)).rlike(kind) for at, kind in ((1, "^D[C-F]"), (-2, "^D[89AB]")))
+        return F.struct(units.alias("units"), low.alias("low"), (high & ((F.octet_length(units) > 2) | ~low)).alias("high"))
+
+    def mended(x: Column) -> Column:
+        units, mark = x["units"], F.lit("�")
+        kept = F.substring(units, F.when(x["low"], 3).otherwise(1), (F.octet_length(units) - F.when(x["low"], 2).otherwise(0) - F.when(x["high"], 2).otherwise(0)).cast("int"))
+        return F.concat(F.when(x["low"], mark).otherwise(""), F.decode(kept, "UTF-16BE"), F.when(x["high"], mark).otherwise(""))
+
     units = F.substring(F.encode(text, "UTF-16BE"), (start * 2 + 1).cast("int"), (length * 2).cast("int"))
-    # Each half of a pair would fail to decode, so it is replaced first, at either end.
-    head, tail = F.hex(F.substring(units, 1, 2)), F.hex(F.substring(units, -2, 2))
-    low, high = head.rlike("^D[C-F]"), tail.rlike("^D[89AB]")
-    kept = F.substring(units, F.when(low, 3).otherwise(1), (F.octet_length(units) - F.when(low, 2).otherwise(0) - F.when(high, 2).otherwise(0)).cast("int"))
-    mark = F.lit("�")
-    return F.when(F.octet_length(units) == 0, "").otherwise(F.concat(F.when(low, mark).otherwise(""), F.decode(kept, "UTF-16BE"), F.when(high & ((F.octet_length(units) > 2) | ~low), mark).otherwise("")))
+    # Bound once, so that slices of slices stay short expressions.
+    return F.transform(F.transform(F.array(units), ends), mended)[0]
 
 
 def xml_escape_text(text: Column) -> Column:

@@ -1,48 +1,127 @@
-"""The order of items in a sequence, from their origins."""
+"""The order of runs in a sequence, from their origins."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructType
 
-from tideline.plans.scratch import materialize, replace
+from tideline.operators.runs import split_at
+from tideline.plans.chains import follow
+from tideline.plans.scratch import materialize
 
+#: Runs that a task orders at once. Longer sequences are ordered by joins.
+AT_ONCE = 1 << 20
 
-def origin_tree_order(items: DataFrame) -> DataFrame:
-    """``items(doc_id, client, clock, origin_client, origin_clock)`` with ``pos``, their place from 0 on.
 
-    The order is the pre-order of the tree of origins: an item stands after its
-    origin, before what stands after the origin otherwise; items of one origin
-    stand by client, and of one client the later first. It depends on the set
-    of items alone, not on how they arrived.
+def walk_tree(up: np.ndarray, client: np.ndarray, clock: np.ndarray) -> np.ndarray:
+    """The place of each node in the pre-order of a forest: ``up`` is its parent's index, -1 for none, -2 for one that is missing.
 
-    The walk around the tree enters and leaves every item once. Each step knows
+    Children of one node stand by client, and of one client the later first.
+    Nodes below a missing one have place -1, and so have rings.
+    """
+    order = np.lexsort((-clock, client, up))
+    first, beside = [-1] * (len(up) + 1), [-1] * len(up)
+    parents, order = up[order].tolist(), order.tolist()
+    for i in range(len(order) - 1, -1, -1):
+        if parents[i] != -2:
+            beside[order[i]], first[parents[i]] = first[parents[i]], order[i]
+    place, now, count = [-1] * len(up), first[-1], 0
+    up = up.tolist()
+    while now >= 0:
+        place[now], count = count, count + 1
+        if first[now] >= 0:
+            now = first[now]
+            continue
+        while now >= 0 and beside[now] < 0:
+            now = up[now]
+        now = beside[now] if now >= 0 else -1
+    return np.array(place, dtype=np.int64)
+
+
+def _origins(client: np.ndarray, clock: np.ndarray, end: np.ndarray, origin_client: pa.Array, origin_clock: pa.Array) -> np.ndarray:
+    """The index of the run whose last unit is each run's origin; -1 for none, -2 for one that isn't there."""
+    free = origin_client.is_null().to_numpy(zero_copy_only=False)
+    oc, ok = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (origin_client, origin_clock))
+    # Ids as one number: clients and clocks by their rank among all that occur.
+    codes = np.unique(np.concatenate([client, oc]), return_inverse=True)[1].reshape(2, -1)
+    ranks = np.unique(np.concatenate([end, ok + 1]), return_inverse=True)[1].reshape(2, -1)
+    ids, wanted = codes * (2 * len(client) + 1) + ranks
+    by = np.argsort(ids, kind="stable")
+    at = by[np.minimum(np.searchsorted(ids, wanted, sorter=by), len(by) - 1)]
+    found = ids[at] == wanted
+    return np.where(free, -1, np.where(found, at, -2))
+
+
+def origin_tree_order(items: DataFrame, keys: list[str] | None = None, at_once: int = AT_ONCE, is_split: bool = False) -> DataFrame:
+    """``items(doc_id, client, clock, len, origin_client, origin_clock, ...)`` with ``pos``, their place from 0 on in each sequence of ``keys``.
+
+    The order is the pre-order of the tree of origins: a run stands after the
+    unit that is its origin, before what stands after that otherwise; runs of
+    one origin stand by client, and of one client the later first. It depends
+    on the set of items alone, not on how they arrived. Without a ``len`` each
+    item is one unit. Where an origin lies inside a run, the run is split there
+    and both pieces return, unless the items are split already. Items whose origin is missing, or waits for one
+    that is, have no place yet and are left out.
+
+    Sequences of up to ``at_once`` runs are each ordered by one walk in a task;
+    longer ones by joins, so no sequence need fit a task.
+    """
+    keys = keys or ["doc_id"]
+    runs = items if "len" in items.columns else items.withColumn("len", F.lit(1).cast("long"))
+    if "len" in items.columns and not is_split:
+        inside = items.where("origin_client is not null").select("doc_id", F.col("origin_client").alias("client"), (F.col("origin_clock") + 1).alias("clock"))
+        runs = split_at(items, inside)
+    runs = materialize(runs, "runs")
+    long_ones = runs.groupBy(keys).agg(F.count("*").alias("n")).where(F.col("n") > at_once).drop("n")
+    long_ones = materialize(long_ones, "long")  # one row for each million of rows at most
+    fields = StructType([*runs.schema.fields]).add("pos", LongType())
+    schema = to_arrow_schema(fields)
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        client, clock, length = (table.column(c).to_numpy() for c in ("client", "clock", "len"))
+        one = lambda c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c)
+        up = _origins(client, clock, clock + length, one("origin_client"), one("origin_clock"))
+        pos = walk_tree(up, client, clock)
+        out = table.append_column("pos", pa.array(pos)).filter(pa.array(pos >= 0))
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(out.columns, schema)], schema=schema)
+
+    none_long = long_ones.isEmpty()
+    short = runs if none_long else runs.join(long_ones, keys, "left_anti").select(runs.columns)
+    placed = short.groupBy(keys).applyInArrow(place, fields)
+    if not none_long:
+        placed = placed.unionByName(_by_joins(runs.join(long_ones, keys, "left_semi").select(runs.columns), keys))
+    return placed if "len" in items.columns else placed.drop("len")
+
+
+def _by_joins(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """The same order without any sequence in one task.
+
+    The walk around the tree enters and leaves every run once. Each step knows
     the next one from its neighbours in the tree; pointers double until they
-    reach the end, counting the items entered on the way, so a chain of n items
-    takes log2(2n) joins on evenly spread keys, and no document need fit a task.
-    An item whose origin is missing counts as standing at the start.
+    reach the end, counting the runs entered on the way, so a chain of n runs
+    takes log2(2n) joins on keys that no two steps share.
     """
-    ids = items.select("doc_id", F.col("client").alias("origin_client"), F.col("clock").alias("origin_clock"), F.lit(True).alias("known"))
-    rows = items.join(ids, ["doc_id", "origin_client", "origin_clock"], "left")
-    rows = rows.select("doc_id", F.struct("client", "clock").alias("id"), F.when(F.col("known"), F.struct(F.col("origin_client").alias("client"), F.col("origin_clock").alias("clock"))).alias("up"))
-    siblings = Window.partitionBy("doc_id", "up").orderBy(F.col("id.client"), F.desc("id.clock"))
-    rows = rows.withColumn("beside", F.lead("id").over(siblings)).withColumn("nth", F.row_number().over(siblings))
-    firsts = rows.where("nth = 1 and up is not null").select("doc_id", F.col("up").alias("id"), F.col("id").alias("first"))
-    rows = rows.join(firsts, ["doc_id", "id"], "left")
-
-    # A step is an item and whether the walk leaves it; next is null at the end of the walk.
-    step = lambda c, leaves: F.when(c.isNotNull(), F.struct(c.alias("id"), F.lit(leaves).alias("leaves")))
-    enters = rows.select("doc_id", step(F.col("id"), False).alias("at"), F.coalesce(step(F.col("first"), False), step(F.col("id"), True)).alias("next"), F.lit(1).cast("long").alias("n"))
-    leaves = rows.select("doc_id", step(F.col("id"), True).alias("at"), F.coalesce(step(F.col("beside"), False), step(F.col("up"), True)).alias("next"), F.lit(0).cast("long").alias("n"))
-    walk = materialize(enters.unionByName(leaves), "walk")
-    for _ in range(64):
-        if walk.where("next is not null").isEmpty():
-            break
-        ahead = walk.select("doc_id", F.col("at").alias("next"), F.col("next").alias("after"), F.col("n").alias("more"))
-        doubled = walk.join(ahead, ["doc_id", "next"], "left").select("doc_id", "at", F.col("after").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-        walk = replace(walk, doubled, "walk")
-    else:
-        raise ValueError("the origins of some items form a ring")
-    sizes = items.groupBy("doc_id").agg(F.count("*").alias("size"))
-    placed = walk.where("not at.leaves").select("doc_id", F.col("at.id.client").alias("client"), F.col("at.id.clock").alias("clock"), "n").join(sizes, "doc_id")
-    return items.join(placed.select("doc_id", "client", "clock", (F.col("size") - F.col("n")).alias("pos")), ["doc_id", "client", "clock"])
+    end = F.col("clock") + F.col("len") - 1
+    known = runs.select(*keys, F.col("client").alias("origin_client"), end.alias("origin_clock"), F.struct("client", "clock").alias("up"))
+    linked = runs.where("origin_client is not null").join(known, [*keys, "origin_client", "origin_clock"])
+    me = F.struct("client", "clock").alias("id")
+    rows = linked.select(*keys, me, "up").unionByName(runs.where("origin_client is null").select(*keys, me, F.lit(None).cast("struct<client:bigint,clock:bigint>").alias("up")))
+    siblings = Window.partitionBy(*keys, "up").orderBy(F.col("id.client"), F.desc("id.clock"))
+    rows = materialize(rows.withColumn("beside", F.lead("id").over(siblings)).withColumn("nth", F.row_number().over(siblings)), "siblings")
+    firsts = rows.where("nth = 1 and up is not null").select(*keys, F.col("up").alias("id"), F.col("id").alias("first"))
+    rows = rows.join(firsts, [*keys, "id"], "left")
+
+    # A step is a run and whether the walk leaves it; next is null at the end of the walk.
+    step = lambda c, leaves: F.when(c.isNotNull(), F.struct(*keys, c.alias("id"), F.lit(leaves).alias("leaves")))
+    enters = rows.select(step(F.col("id"), False).alias("at"), F.coalesce(step(F.col("first"), False), step(F.col("id"), True)).alias("next"), F.lit(1).cast("long").alias("n"))
+    leaves = rows.select(step(F.col("id"), True).alias("at"), F.coalesce(step(F.col("beside"), False), step(F.col("up"), True)).alias("next"), F.lit(0).cast("long").alias("n"))
+    ranked = follow(enters.unionByName(leaves)).where("not at.leaves").select(*(F.col(f"at.{k}").alias(k) for k in keys), F.col("at.id.client").alias("client"), F.col("at.id.clock").alias("clock"), "n")
+    # Steps below a missing origin never reach the end of the walk from its start; the others count down from the number of runs.
+    sizes = ranked.groupBy(keys).agg(F.max("n").alias("most"))
+    places = ranked.join(sizes, keys).select(*keys, "client", "clock", (F.col("most") - F.col("n")).alias("pos"))
+    return runs.join(places, [*keys, "client", "clock"]).select(*runs.columns, "pos")

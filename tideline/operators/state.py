@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.runs import cut_front, mark_deleted, without_overlaps
+from tideline.plans.asof import as_of
+from tideline.plans.scratch import discard, materialize, replace
+
 #: Clocks that share a bucket when ranges are joined to units.
 BUCKET = 1024
 
@@ -39,14 +43,19 @@ def _bucketed(ranges: DataFrame) -> DataFrame:
     return ranges.where("len > 0").select("doc_id", "client", F.col("clock").alias("low"), (F.col("clock") + F.col("len")).alias("high"), F.explode(F.sequence(first, last)).alias("bucket"))
 
 
-def in_delete_set(units: DataFrame, deleted: DataFrame) -> DataFrame:
-    """The rows of ``units(doc_id, client, clock)`` whose clock lies in a range of ``deleted``.
+def in_delete_set(log: DataFrame, deleted: DataFrame) -> DataFrame:
+    """What of ``log(doc_id, client, clock, len)`` lies in a range of ``deleted``: runs are cut to the units that do.
 
-    Ranges join by buckets of clocks, so that no range meets all units of its client.
+    Without a ``len`` each row is one unit.
     """
-    ranges = _bucketed(deleted)
-    same = (units["doc_id"] == ranges["doc_id"]) & (units["client"] == ranges["client"]) & (F.floor(units["clock"] / BUCKET) == ranges["bucket"])
-    return units.join(ranges, same & (units["clock"] >= ranges["low"]) & (units["clock"] < ranges["high"]), "left_semi")
+    runs = log if "len" in log.columns else log.withColumn("len", F.lit(1).cast("long"))
+    return mark_deleted(runs, deleted, "_in_set").where("_in_set").select(log.columns)
+
+
+def unresolved_ranges(log: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The parts of the ranges of ``deleted`` whose units ``log`` doesn't hold yet: they wait for their runs."""
+    held = compact_ranges(log.select("doc_id", "client", "clock", "len"))
+    return mark_deleted(compact_ranges(deleted.select("doc_id", "client", "clock", "len")), held, "_held").where("not _held").drop("_held")
 
 
 def find_containing(log: DataFrame, ids: DataFrame) -> DataFrame:
@@ -57,19 +66,17 @@ def find_containing(log: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def diff_since(log: DataFrame, known: DataFrame) -> DataFrame:
-    """The part of ``log`` at or after ``known(doc_id, client, next_clock)``; a run that is partly known is trimmed."""
-    seen = F.coalesce("next_clock", F.lit(0))
-    joined = log.join(known, ["doc_id", "client"], "left").where(F.col("clock") + F.col("len") > seen)
-    first = F.greatest("clock", seen)
-    return joined.withColumns({"len": F.col("clock") + F.col("len") - first, "clock": first}).drop("next_clock")
+    """The part of ``log`` at or after ``known(doc_id, client, next_clock)``; a run that is partly known loses its front, content included."""
+    rows = log.join(known.select("doc_id", "client", F.col("next_clock").alias("_known")), ["doc_id", "client"], "left")
+    return cut_front(rows, F.greatest(F.lit(0), F.coalesce("_known", F.lit(0)) - F.col("clock"))).drop("_known")
 
 
 def merge_updates(*logs: DataFrame) -> DataFrame:
-    """Union of update batches; a unit that several hold counts once. Nothing is lost, parked runs included."""
+    """Union of update batches; a unit that several hold counts once. Nothing is lost, parked runs and the rest of longer runs included."""
     merged = logs[0]
     for more in logs[1:]:
         merged = merged.unionByName(more)
-    return merged.dropDuplicates(["doc_id", "client", "clock"])
+    return without_overlaps(merged)
 
 
 def equal_states(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -96,22 +103,61 @@ def park_gaps(log: DataFrame) -> DataFrame:
 def causally_ready(items: DataFrame) -> DataFrame:
     """The rows of ``items(doc_id, client, clock, origin_client, origin_clock)`` whose chain of origins is all there.
 
-    Each round marks the items whose origin is missing or already marked as
-    blocked, by pointer doubling, so rounds grow with the logarithm of the
-    longest chain.
+    An origin may be any unit of a run, where items have a ``len``. The chain of
+    each item is followed by pointer doubling to where it starts, in rounds
+    that grow with the logarithm of the longest chain; items whose chain has
+    come to its end take no further part.
     """
-    from tideline.plans.scratch import materialize
-
-    ids = items.select("doc_id", F.col("client").alias("up_client"), F.col("clock").alias("up_clock"))
-    at = items.withColumnsRenamed({"origin_client": "up_client", "origin_clock": "up_clock"})
-    there = ids.withColumn("there", F.lit(True))
-    at = at.join(there, ["doc_id", "up_client", "up_clock"], "left").withColumn("blocked", F.col("up_clock").isNotNull() & F.col("there").isNull()).drop("there")
-    while True:
-        at = materialize(at, "ready")
-        if at.where("up_clock is not null and not blocked").isEmpty():
+    runs = items if "len" in items.columns else items.withColumn("len", F.lit(1).cast("long"))
+    me = F.struct("doc_id", "client", "clock").alias("at")
+    starts = runs.where("origin_client is null").select(me)
+    held = runs.select("doc_id", F.col("client").alias("origin_client"), F.col("clock").alias("run_clock"), "len")
+    asked = runs.where("origin_client is not null").select(me, "doc_id", "origin_client", "origin_clock")
+    found = as_of(asked, held, ["doc_id", "origin_client"], "origin_clock", "run_clock", "run").where("origin_clock < run.run_clock + run.len")
+    ready, live = materialize(starts, "ready"), found.select("at", F.struct("doc_id", F.col("origin_client").alias("client"), F.col("run.run_clock").alias("clock")).alias("up"))
+    live = materialize(live, "waiting")
+    for _ in range(64):
+        if live.isEmpty():
             break
-        up = at.select("doc_id", F.col("client").alias("up_client"), F.col("clock").alias("up_clock"), F.col("up_client").alias("next_client"), F.col("up_clock").alias("next_clock"), F.col("blocked").alias("up_blocked"))
-        at = at.join(up, ["doc_id", "up_client", "up_clock"], "left").select(
-            "doc_id", "client", "clock", F.when(~F.col("blocked"), F.col("next_client")).alias("up_client"), F.when(~F.col("blocked"), F.col("next_clock")).alias("up_clock"), (F.col("blocked") | F.coalesce("up_blocked", F.lit(False))).alias("blocked")
-        )
-    return items.join(at.where("not blocked").select("doc_id", "client", "clock"), ["doc_id", "client", "clock"], "left_semi")
+        # Below a ready item all are ready; the others look twice as far up.
+        fresh = live.join(ready.select(F.col("at").alias("up"), F.lit(True).alias("is_ready")), "up", "left")
+        fresh = materialize(fresh, "looked")
+        ahead = live.select(F.col("at").alias("up"), F.col("up").alias("next"))
+        rest = fresh.where("is_ready is null").select("at", "up").join(ahead, "up").select("at", F.col("next").alias("up"))
+        ready = materialize(ready.unionByName(fresh.where("is_ready").select("at")), "ready")
+        live = replace(live, rest, "waiting")
+    else:
+        raise ValueError("the origins of some items form a ring")
+    return items.join(ready.select("at.*"), ["doc_id", "client", "clock"], "left_semi")
+
+
+def ready_until(structs: DataFrame) -> DataFrame:
+    """(doc_id, client, ready): the first clock of each client that can't be placed yet; all below it can.
+
+    ``structs(doc_id, client, clock, len, origin, right_origin, parent_id)``
+    without overlaps. A run waits if its client's clocks have a gap before it,
+    or if a unit that it refers to isn't there or waits itself; with it waits
+    all that its client wrote later. Each round lowers the marks of clients
+    that refer to what waits, until none moves.
+    """
+    order = Window.partitionBy("doc_id", "client").orderBy("clock")
+    reached = F.coalesce(F.lag(F.col("clock") + F.col("len")).over(order), F.lit(0))
+    upto = F.min(F.when(F.col("clock") > F.col("reached"), F.col("reached")))
+    marks = structs.withColumn("reached", reached).groupBy("doc_id", "client").agg(F.coalesce(upto, F.max(F.col("clock") + F.col("len"))).alias("ready"))
+    marks = materialize(marks, "marks")
+    refs = [structs.where(F.col(c).isNotNull()).select("doc_id", "client", "clock", F.col(f"{c}.client").alias("on"), F.col(f"{c}.clock").alias("need")) for c in ("origin", "right_origin", "parent_id")]
+    refs = refs[0].unionByName(refs[1]).unionByName(refs[2]).where("on != client or need >= clock")
+    # A client's first reference beyond a clock decides, so only the nearest matter: one row for each of its runs that refers to another client.
+    refs = materialize(refs, "references")
+    for _ in range(10_000):
+        there = marks.select("doc_id", F.col("client").alias("on"), "ready")
+        short = refs.join(there, ["doc_id", "on"], "left").where(F.col("need") >= F.coalesce("ready", F.lit(0)))
+        lower = short.groupBy("doc_id", "client").agg(F.min("clock").alias("lower"))
+        moved = materialize(marks.join(lower, ["doc_id", "client"], "left").select("doc_id", "client", F.least("ready", F.coalesce("lower", "ready")).alias("ready"), (F.coalesce("lower", "ready") < F.col("ready")).alias("moved")), "marks")
+        settled = moved.where("moved").isEmpty()
+        discard(marks)
+        marks = moved.select("doc_id", "client", "ready")
+        marks.scratch_path = moved.scratch_path
+        if settled:
+            return marks
+    raise ValueError("the marks of clients don't settle")

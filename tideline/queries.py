@@ -5,16 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import text as tx
-from tideline.operators import edit, history, order, positions, presence, state, values
+from tideline.operators import content, edit, history, order, positions, presence, state, values
 from tideline.plans.scratch import materialize, scratch_dir
+from tideline.sources import messages
 from tideline.sources.columnar import decode_columnar, encode_columnar
-from tideline.sources.tables import EDITS_SQL, TREE_SQL, TURNS_SQL, edits, table, tree_items, turns
+from tideline.sources.tables import EDITS_SQL, TALK_SQL, TREE_SQL, TURNS_SQL, conversation_log, edits, table, tree_items, turns
 from tideline.sources.updates import decode_state_vectors, decode_updates, resolve_parents
-from tideline.sources.wire import encode_state_vectors, encode_updates
+from tideline.sources.wire import encode_presence, encode_snapshots, encode_state_vectors, encode_updates, presence_frame, sync_frame, sync_message
 from tideline.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,9 +107,13 @@ def map_keys(spark, sf_dir):
     return pairs.groupBy("doc_id").agg(F.count("*").alias("n_keys"), F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
 
 
-@query()
+@query(f"""
+WITH log AS ({EDITS_SQL}), last AS (SELECT doc_id, key, value, deletes, row_number() OVER (PARTITION BY doc_id, key ORDER BY clock DESC, client DESC) AS n FROM log)
+SELECT doc_id, count(*) AS n_keys, '{{' || string_agg(to_json(key) || ':' || CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY key) || '}}' AS json FROM last WHERE n = 1 AND NOT deletes GROUP BY doc_id
+""")
 def map_json(spark, sf_dir):
-    return values.map_entries(_log(spark, sf_dir))
+    """Values as whole hundredths, which both engines write alike."""
+    return values.map_entries(_log(spark, sf_dir).withColumn("value", F.floor(F.col("value") * 100)))
 
 
 @query(f"""
@@ -258,9 +263,18 @@ def utf16_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.utf16_length(F.col("text")).alias("units"))
 
 
-@query("SELECT doc_id, substr(text, 11, 40) AS part FROM documents")
+@query("""
+WITH wide AS (SELECT doc_id, replace(text, 'e', chr(128522)) AS text FROM documents), units AS (
+  SELECT *, sum(CASE WHEN ord(c) > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS after
+  FROM (SELECT doc_id, unnest(range(1, length(head) + 1)) AS i, unnest(string_split(head, '')) AS c FROM (SELECT doc_id, substr(text, 1, 60) AS head FROM wide) WHERE head <> '')
+), parts AS (SELECT doc_id, i, CASE WHEN ord(c) <= 65535 THEN CASE WHEN after BETWEEN 11 AND 50 THEN c END
+    WHEN after BETWEEN 12 AND 50 THEN c WHEN after IN (11, 51) THEN chr(65533) END AS c FROM units)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(c, '' ORDER BY i), '') END AS part FROM documents d LEFT JOIN parts p USING (doc_id) GROUP BY d.doc_id, d.text
+""")
 def utf16_slice(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.utf16_slice(F.col("text"), 10, 40).alias("part"))
+    """40 units from the eleventh on, every e being a character of two units: half of one becomes the replacement character."""
+    wide = F.replace("text", F.lit("e"), F.lit("\U0001F60A"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.utf16_slice(wide, 10, 40).alias("part"))
 
 
 @query("SELECT page_id, octet_length(encode(url)) BETWEEN 1 AND 255 AND url NOT IN ('.', '..') AND NOT regexp_matches(url, '[\\x00-\\x1F\\x7F]') AS valid FROM pages")
@@ -268,9 +282,12 @@ def room_name_valid(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.room_name_valid(F.col("url")).alias("valid"))
 
 
-@query("SELECT event_id, CAST(1 + (event_id % 3 > 0)::INT AS INT) AS depth FROM events")
+@query("SELECT event_id, CAST(CASE WHEN event_id % 9 = 4 THEN NULL ELSE 1 + event_id % 7 END AS INT) AS depth FROM events")
 def json_depth(spark, sf_dir):
-    nested = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit('{"s": "[[[", "of": '), "props", F.lit("}"))).otherwise(F.col("props"))
+    """Events nested 1 to 7 deep behind strings of brackets and escaped quotes; some end within a string."""
+    depth = (F.col("event_id") % 7).cast("int")
+    nested = F.concat(F.repeat(F.lit('{"[{\\\\\\"[": ['), F.floor(depth / 2).cast("int")), F.when(depth % 2 == 1, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.col("props")), F.repeat(F.lit("]}"), F.floor(depth / 2).cast("int")))
+    nested = F.when(F.col("event_id") % 9 == 4, F.concat(nested, F.lit('"'))).otherwise(nested)
     return table(spark, sf_dir, "events").select("event_id", tx.json_depth(nested).alias("depth"))
 
 
@@ -398,12 +415,12 @@ _PRESENCE_SQL = f"SELECT doc_id, client, CASE WHEN event_type = 'view' THEN grea
 
 
 @query(f"""
-WITH own AS (SELECT * FROM ({_PRESENCE_SQL}) WHERE seq = clock), last AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY doc_id, client ORDER BY clock DESC) = 1)
+WITH own AS (SELECT * FROM ({_PRESENCE_SQL}) QUALIFY clock > coalesce(max(clock) OVER (PARTITION BY doc_id, client ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)),
+last AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY doc_id, client ORDER BY clock DESC) = 1)
 SELECT doc_id, client, clock, state, ts AS updated_at FROM last WHERE state IS NOT NULL AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 5 DAY
 """)
 def presence_states(spark, sf_dir):
-    updates = _presence(spark, sf_dir).where("seq = clock")
-    found = presence.presence_states(updates, F.lit("2024-01-31").cast("timestamp"), 5 * 86400)
+    found = presence.presence_states(_presence(spark, sf_dir), F.lit("2024-01-31").cast("timestamp"), 5 * 86400)
     return found.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
@@ -472,7 +489,7 @@ def parents_resolved(spark, sf_dir):
 
 @query(f"SELECT doc_id, client, CAST(max(clock) + 1 AS BIGINT) AS next_clock FROM ({EDITS_SQL}) GROUP BY ALL")
 def state_vector_round_trip(spark, sf_dir):
-    return decode_state_vectors(encode_state_vectors(state.state_vector(_log(spark, sf_dir))))
+    return decode_state_vectors(encode_state_vectors(state.state_vector(_log(spark, sf_dir)))).where("error is null").drop("error")
 
 
 @query(f"""
@@ -482,11 +499,102 @@ SELECT doc_id, client, clock FROM log LEFT JOIN known USING (doc_id, client) WHE
 def sync_reply(spark, sf_dir):
     """A peer's state vector as bytes, and the update that answers it, read back."""
     structs = _structs(spark, sf_dir)
-    asked = decode_state_vectors(encode_state_vectors(state.state_vector(_early(_log(spark, sf_dir)))))
+    asked = decode_state_vectors(encode_state_vectors(state.state_vector(_early(_log(spark, sf_dir))))).where("error is null")
     reply = encode_updates(state.diff_since(structs, asked), structs.where("deletes"))
     return decode_updates(reply).where("content_type != 'range'").select("doc_id", "client", "clock")
 
 
+def _talk(spark, sf_dir) -> DataFrame:
+    """The items of all conversations, from their binary updates."""
+    structs, ranges = conversation_log(table(spark, sf_dir, "conversations"))
+    return materialize(content.placed_items(decode_updates(encode_updates(structs, ranges))), "placed")
+
+
+_BODY_SQL = """
+  even AS (SELECT *, length(text) // 2 AS half FROM talk WHERE i % 2 = 0), odd AS (SELECT * FROM talk WHERE i % 2 = 1),
+  cut AS (SELECT e.doc_id, e.i, substr(e.text, 1, 1) || CASE WHEN half > 3 THEN substr(e.text, 4, half - 3) ELSE '' END AS front, substr(e.text, greatest(half, 3) + 1) AS rest, o.text AS inner_text FROM even e LEFT JOIN odd o ON o.doc_id = e.doc_id AND o.i = e.i + 1),
+  body AS (
+    SELECT doc_id, string_agg(front || CASE WHEN doc_id % 2 = 0 THEN coalesce(inner_text, '') ELSE '' END || rest, '' ORDER BY i) || CASE WHEN doc_id % 2 = 1 THEN coalesce(string_agg(inner_text, '' ORDER BY i DESC), '') ELSE '' END AS value
+    FROM cut GROUP BY doc_id)
+"""
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""
+WITH talk AS ({TALK_SQL}), {_BODY_SQL},
+  last AS (SELECT doc_id, role, arg_max(i, i) AS i, arg_max(turn, i) AS turn FROM talk GROUP BY doc_id, role)
+SELECT doc_id, '/body' AS type, value FROM body
+UNION ALL SELECT doc_id, '/turns', '[' || string_agg(CASE WHEN i % 3 = 2 THEN '' ELSE turn || ',' END || '"' || role || '"', ',' ORDER BY i) || ']' FROM talk GROUP BY doc_id
+UNION ALL SELECT doc_id, '/last', '{{' || string_agg('"' || role || '":' || turn, ',' ORDER BY role) || '}}' FROM last WHERE i % 4 <> 3 GROUP BY doc_id
+UNION ALL SELECT doc_id, '/page', string_agg('<turn role="' || role || '">' || {_ESCAPED.format('text')} || '</turn>', '' ORDER BY i) FROM talk WHERE i % 4 <> 3 GROUP BY doc_id
+""")
+def decoded_values(spark, sf_dir):
+    """From bytes to values: each conversation's text, list, map and XML, its runs split where others stand inside them and where deletions begin and end."""
+    items = _talk(spark, sf_dir)
+    named = lambda df, value: df.select("doc_id", F.col("parent").alias("type"), F.col(value).alias("value"))
+    text = named(content.texts(items).where("parent = '/body'"), "text")
+    page = content.xml(items, content.root("page")).select("doc_id", F.lit("/page").alias("type"), F.col("xml").alias("value"))
+    return text.unionByName(named(content.lists(items).where("parent = '/turns'"), "json")).unionByName(named(content.maps(items).where("parent = '/last'"), "json")).unionByName(page)
+
+
+@query(f"""
+WITH talk AS ({TALK_SQL}), parts AS (
+  SELECT doc_id, i, 0 AS k, role AS said, CASE WHEN i > 0 AND i % 2 = 0 THEN 'bold=true,italic=true' ELSE 'bold=true' END AS attributes FROM talk WHERE role <> ''
+  UNION ALL SELECT doc_id, i, 1, text, CASE WHEN i % 2 = 1 THEN 'italic=true' ELSE '' END FROM talk
+), steps AS (SELECT *, CASE WHEN lag(attributes) OVER (PARTITION BY doc_id ORDER BY i, k) = attributes THEN 0 ELSE 1 END AS fresh FROM parts),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i, k) AS step FROM steps)
+SELECT doc_id, CAST(step AS BIGINT) AS step, string_agg(said, '' ORDER BY i, k) AS insert, any_value(attributes) AS attributes FROM numbered GROUP BY doc_id, step
+""")
+def decoded_rich_text(spark, sf_dir):
+    """The bold and italic text of each conversation as inserts with their attributes, from binary updates."""
+    found = content.rich_text(_talk(spark, sf_dir).where("parent = '/rich'"))
+    pairs = F.coalesce(F.array_sort(F.map_entries("attributes")), F.array().cast("array<struct<key:string,value:string>>"))
+    return found.select("doc_id", "step", "insert", F.array_join(F.transform(pairs, lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("attributes"))
+
+
+@query(f"""
+WITH talk AS ({TALK_SQL}), whole AS (SELECT doc_id, n FROM talk WHERE i = 0)
+SELECT doc_id, '/turns' AS parent, '' AS keys, 2 * (n - n // 2) - (SELECT count(*) FROM talk t WHERE t.doc_id = whole.doc_id AND i >= n // 2 AND i % 3 = 2) AS n_inserted,
+  (SELECT count(*) FROM talk t WHERE t.doc_id = whole.doc_id AND i < n // 2 AND i % 3 = 2) AS n_deleted FROM whole
+UNION ALL
+SELECT doc_id, '/last', string_agg(DISTINCT role, ',' ORDER BY role), 0, 0 FROM talk WHERE i >= n // 2 OR i % 4 = 3 GROUP BY doc_id
+""")
+def changed_types(spark, sf_dir):
+    """What observers of lists and maps are told where the second half of each conversation is new, and so are all deletions."""
+    talk = table(spark, sf_dir, "conversations")
+    structs, ranges = conversation_log(talk)
+    items = materialize(content.placed_items(decode_updates(encode_updates(structs, ranges))), "placed").where("parent in ('/turns', '/last')")
+    own = Window.partitionBy("conv_id")
+    halves = talk.withColumns({"i": F.row_number().over(own.orderBy("turn")) - 1, "n": F.count("*").over(own)}).where("i = n div 2").select(F.col("conv_id").alias("doc_id"), "turn")
+    first = structs.where("content_type = 'any' and size(vals) = 2").select("doc_id", "clock", F.element_at("vals", 1).cast("long").alias("turn"))
+    border = halves.join(first, ["doc_id", "turn"]).select("doc_id", F.col("clock").alias("border"))
+    found = content.changed_types(items.join(border, "doc_id"), F.col("clock") >= F.col("border"), F.lit(False))
+    return found.select("doc_id", "parent", F.array_join("keys", ",").alias("keys"), "n_inserted", "n_deleted")
+
+
+@query(f"""
+WITH log AS ({EDITS_SQL}), ds AS ({_DELETE_SET_SQL.format(log='log')})
+SELECT doc_id, 'sync' AS part, 0 AS kind, client, CAST(max(clock + 1) AS BIGINT) AS clock, CAST(0 AS BIGINT) AS len, NULL AS state FROM log GROUP BY doc_id, client
+UNION ALL SELECT doc_id, 'snapshot', 0, client, CAST(max(clock + 1) AS BIGINT), 0, NULL FROM log GROUP BY doc_id, client
+UNION ALL SELECT doc_id, 'snapshot', 1, client, clock, len, NULL FROM ds
+UNION ALL SELECT doc_id, 'presence', 1, client, arg_max(clock, clock), 0, arg_max(CASE WHEN deletes THEN 'null' ELSE key END, clock) FROM log GROUP BY doc_id, client
+""")
+def message_round_trip(spark, sf_dir):
+    """State vectors, snapshots and presence of all documents, as protocol messages and back."""
+    log = _log(spark, sf_dir)
+    asks = encode_state_vectors(state.state_vector(log)).select("doc_id", sync_frame(sync_message(0, F.col("sv"))).alias("message"))
+    last = F.max_by(F.struct("clock", F.when(F.col("deletes"), "null").otherwise(F.col("key")).alias("state")), "clock").alias("last")
+    present = encode_presence(log.groupBy("doc_id", "client").agg(last).select("doc_id", "client", "last.*")).select("doc_id", presence_frame(F.col("update")).alias("message"))
+    read = materialize(messages.decode_frames(asks.unionByName(present)), "messages")
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, part, kind, clock, length, said: df.select("doc_id", F.lit(part).alias("part"), kind.cast("int").alias("kind"), "client", clock.alias("clock"), length.cast("long").alias("len"), said.alias("state"))
+    vectors = decode_state_vectors(read.where("channel = 'sync' and kind = 0").select("doc_id", F.col("payload").alias("sv")))
+    states = messages.decode_presence(read.where("channel = 'presence'").select("doc_id", F.col("payload").alias("update")), raw=True)
+    taken = messages.decode_snapshots(encode_snapshots(log, log.where("deletes")))
+    out = row(vectors, "sync", F.lit(0), F.col("next_clock"), F.lit(0), none("string")).unionByName(row(states, "presence", F.lit(1), F.col("clock"), F.lit(0), F.col("state")))
+    return out.unionByName(row(taken, "snapshot", F.col("kind"), F.col("clock"), F.coalesce("len", F.lit(0)), none("string")))
+
+
 def _streamed(spark, sf_dir, log: DataFrame, apply) -> DataFrame:
     """Run ``log`` through a streaming query until its files are read, and return what the query wrote."""
     base = f"{scratch_dir(spark)}/tideline-stream-{uuid.uuid4().hex}"

@@ -4,43 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.text import utf16_slice
+from tideline.operators.runs import cut_front, without_overlaps
 from tideline.plans.scratch import materialize
 from tideline.sources.columnar import decode_columnar, encode_columnar
 from tideline.sources.updates import decode_updates
 from tideline.sources.wire import encode_updates
 
 
-def cut_front(structs: DataFrame, offset: Column) -> DataFrame:
-    """``structs`` without their first ``offset`` units: clock, length, content, and as origin the last unit cut off.
-
-    Runs that would have no unit left are dropped. Half of a surrogate pair becomes U+FFFD.
-    """
-    rows = structs.withColumn("_cut", offset).where(F.col("_cut") < F.col("len"))
-    cut = F.col("_cut") > 0
-    before = F.struct(F.col("client"), (F.col("clock") + F.col("_cut") - 1).alias("clock"))
-    rest = F.slice("vals", (F.col("_cut") + 1).cast("int"), F.col("len").cast("int"))
-    return rows.withColumns(
-        {
-            "origin": F.when(cut & (F.col("content_type") != "gc"), before).otherwise(F.col("origin")),
-            "str": F.when(cut & (F.col("content_type") == "string"), utf16_slice(F.col("str"), F.col("_cut"), F.col("len") - F.col("_cut"))).otherwise(F.col("str")),
-            "vals": F.when(cut & F.col("content_type").isin("any", "json"), rest).otherwise(F.col("vals")),
-            "clock": F.col("clock") + F.col("_cut"),
-            "len": F.col("len") - F.col("_cut"),
-        }
-    ).drop("_cut")
-
-
-def without_overlaps(structs: DataFrame) -> DataFrame:
-    """Each unit once: of runs that overlap, the later one loses what an earlier one holds."""
-    order = Window.partitionBy("doc_id", "client").orderBy("clock", F.desc("len"))
-    reached = F.max(F.col("clock") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return cut_front(structs, F.greatest(F.lit(0), F.coalesce(reached, F.lit(0)) - F.col("clock")))
-
-
 def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = rows.where("error is null").drop("error")
     return good.where("content_type != 'range'"), good.where("content_type = 'range'").select("doc_id", "client", "clock", "len")

@@ -198,22 +198,48 @@ def decode_updates(updates: DataFrame, permissive: bool = True) -> DataFrame:
     return updates.select("doc_id", "update").mapInArrow(run, fields)
 
 
-def decode_state_vectors(vectors: DataFrame) -> DataFrame:
-    """(doc_id, client, next_clock) of ``vectors(doc_id, sv)``; malformed ones give no row."""
-    fields = f"doc_id {vectors.schema['doc_id'].dataType.simpleString()}, client long, next_clock long"
-    schema = _arrow(fields)
+def decoded(blobs: DataFrame, column: str, fields: str, read) -> DataFrame:
+    """(doc_id, ``fields``, error): the rows that ``read(reader)`` yields for each binary of ``column``.
+
+    A malformed one gives one row with its ``error`` and none of its content, a
+    null one no row. Bytes that are left over are an error.
+    """
+    whole = f"doc_id {blobs.schema['doc_id'].dataType.simpleString()}, {fields}, error string"
+    schema = _arrow(whole)
+
+    def rows_of(data: bytes) -> list[dict]:
+        reader = Reader(data)
+        try:
+            found = list(read(reader))
+            if reader.at != len(data):
+                raise ValueError("bytes are left over")
+        except (ValueError, UnicodeDecodeError) as e:
+            return [{"error": str(e)}]
+        return found
 
     def run(batches):
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                reader = Reader(data or b"\0")
-                try:
-                    rows = [{"doc_id": key, "client": reader.uint(), "next_clock": reader.uint()} for _ in range(reader.count())]
-                except ValueError:
-                    rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return vectors.select("doc_id", "sv").mapInArrow(run, fields)
+                rows = [] if data is None else rows_of(data)
+                for at in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_pylist([{"doc_id": key, **r} for r in rows[at : at + 4096]], schema)
+
+    return blobs.select("doc_id", column).mapInArrow(run, whole)
+
+
+def read_vector(reader: Reader) -> Iterator[dict]:
+    for _ in range(reader.count()):
+        yield {"client": reader.uint(), "next_clock": reader.uint()}
+
+
+def decode_state_vectors(vectors: DataFrame) -> DataFrame:
+    """(doc_id, client, next_clock, error) of ``vectors(doc_id, sv)``; a malformed one gives one row with its error."""
+    return decoded(vectors, "sv", "client long, next_clock long", read_vector)
+
+
+def decode_delete_sets(sets: DataFrame) -> DataFrame:
+    """(doc_id, client, clock, len, error) of ``sets(doc_id, ds)``."""
+    return decoded(sets, "ds", "client long, clock long, len long", lambda r: ({k: x[k] for k in ("client", "clock", "len")} for x in read_ranges(r)))
 
 
 def resolve_parents(structs: DataFrame) -> DataFrame:

@@ -35,6 +35,10 @@ def no_bytes() -> Column:
 
 def var_uint(value: Column) -> Column:
     """Seven bits a byte, lowest first, the high bit set on all but the last."""
+    return F.when(value < 128, F.unhex(F.lpad(F.hex(value), 2, "0"))).otherwise(_var_uint(value))
+
+
+def _var_uint(value: Column) -> Column:
     last = F.floor((F.length(F.bin(value)) - 1) / 7).cast("int")
 
     def digit(i: Column) -> Column:
@@ -205,6 +209,16 @@ def sync_message(kind: int, payload: Column) -> Column:
     return F.concat(var_uint(F.lit(kind).cast("long")), var_bytes(payload))
 
 
+def sync_frame(message: Column) -> Column:
+    """A sync message on its channel."""
+    return F.concat(byte(F.lit(0)), message)
+
+
+def presence_frame(update: Column) -> Column:
+    """A presence update on its channel."""
+    return F.concat(byte(F.lit(1)), var_bytes(update))
+
+
 def encode_presence(states: DataFrame) -> DataFrame:
     """(doc_id, update): ``states(doc_id, client, clock, state)`` as one presence update, clients ascending; no state is the text null."""
     one = F.concat(var_uint(F.col("client")), var_uint(F.col("clock")), var_string(F.coalesce("state", F.lit("null"))))

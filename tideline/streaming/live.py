@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideline.operators.presence import valid_state
+
 #: Parked runs that one client in one document may hold back before the query fails.
 MOST_PARKED = 100_000
 
@@ -76,7 +78,6 @@ def _track(timeout_ms: int) -> Callable:
                 for c, s in sorted(zip(batch["clock"].tolist(), batch["state"].tolist()), key=lambda x: x[0]):
                     if c <= clock:
                         continue
-                    s = None if s in (None, "", "null") else s
                     if s is not None or text is not None:
                         out.append((*key, c, "added" if text is None else "removed" if s is None else "updated"))
                     clock, text = c, s
@@ -90,11 +91,11 @@ def _track(timeout_ms: int) -> Callable:
 def presence_feed(stream: DataFrame, timeout_ms: int = 30_000) -> DataFrame:
     """(doc_id, client, clock, change) as presence updates arrive: added, updated, removed, and expired after the timeout.
 
-    Only a clock above the client's last one counts; updates of one batch apply in
-    order of clock. The timers keep such a query running until it is stopped.
+    Only a clock above the client's last one counts, and a state that isn't valid
+    counts as none; updates of one batch apply in order of clock. The timers keep such a query running until it is stopped.
     """
     kind = stream.schema["doc_id"].dataType.simpleString()
-    own = stream.select("doc_id", "client", "clock", "state")
+    own = stream.select("doc_id", "client", "clock", valid_state(F.col("state")).alias("state"))
     return own.groupBy("doc_id", "client").applyInPandasWithState(_track(timeout_ms), f"doc_id {kind}, client long, clock long, change string", "clock long, state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
