@@ -30,6 +30,7 @@ FEATURES = 256 + 5
 FIT_LABELLED = 12_000
 THRESHOLD = 0.3
 RIDGE = 1e-2
+BEND = 100.0
 #: Bins of the log-odds when the class prior is estimated.
 BINS, BIN_RANGE = 2048, 16.0
 #: Tasks of one pass over the unlabelled text at most.
@@ -91,20 +92,21 @@ def minimise(positive: np.ndarray, unlabelled: Callable[[np.ndarray], np.ndarray
     """The weights of least risk, by limited-memory quasi-Newton steps with at most so many ``passes`` over the unlabelled rows.
 
     ``unlabelled(w)`` is loss_sums with sign -1 over all unlabelled rows and
-    ``metric`` the inverse of their second moments. A step to where the risk
-    rises or the negatives' part of it falls below zero, which marks
-    overfitting, is halved.
+    ``metric`` the inverse of their second moments. The negatives' part of the
+    risk counts as zero where it falls below, which marks overfitting; the bend
+    there is rounded by about 1 / BEND. A step to where the risk rises is halved.
     """
 
-    def risk(w: np.ndarray) -> tuple[float, np.ndarray, float]:
+    def risk(w: np.ndarray) -> tuple[float, np.ndarray]:
         pos, neg, unl = loss_sums(positive, w, 1), loss_sums(positive, w, -1), unlabelled(w)
         pos, neg, unl = pos[1:] / pos[0], neg[1:] / neg[0], unl[1:] / unl[0]
         shrink = np.append(w[:-1], 0.0)
-        negatives = unl[0] - prior * neg[0]
-        total = prior * pos + unl - prior * neg
-        return total[0] + RIDGE / 2 * shrink @ shrink, total[1:] + RIDGE * shrink, negatives
+        negatives = unl - prior * neg
+        held = 1 / (1 + np.exp(-np.clip(BEND * negatives[0], -30, 30)))
+        value = prior * pos[0] + np.logaddexp(0, BEND * negatives[0]) / BEND + RIDGE / 2 * shrink @ shrink
+        return value, prior * pos[1:] + held * negatives[1:] + RIDGE * shrink
 
-    w, (value, slope, _) = start, risk(start)
+    w, (value, slope) = start, risk(start)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     used = 1
     while used < passes and np.abs(slope).max() > 1e-5:
@@ -119,9 +121,9 @@ def minimise(positive: np.ndarray, unlabelled: Callable[[np.ndarray], np.ndarray
         step = 1.0
         while used < passes:
             fresh = w - step * q
-            new_value, new_slope, negatives = risk(fresh)
+            new_value, new_slope = risk(fresh)
             used += 1
-            if new_value <= value - 1e-4 * step * (slope @ q) and negatives >= 0:
+            if new_value <= value - 1e-4 * step * (slope @ q):
                 break
             step /= 2
         else:
