@@ -252,6 +252,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     moved = roots.select(F.col("node.fp").alias("fp"), F.col("root.doc_id").alias("least"), F.lit(True).alias("linked"))
     by_print = distinct.join(moved, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Written, so that the join of all copies is alone in its stage, where adaptive execution splits a fingerprint of very many.
+    by_print = materialize(by_print, "components")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
