@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import sys
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -11,6 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 import corpus_pipeline
 from tideline.llm import chat, html_render, jpeg, licenses, media, mixing, queries
 
@@ -222,6 +225,14 @@ def test_broken_images_give_a_reason(spark):
         ("<!-- c --><b>bold<i>both</b>rest", "boldbothrest"),
         ("<select><option>a<option>b</select>", "a\nb"),
         ("<p>x</p></div></p>y", "x\n\ny"),
+        ("<div>" * 300 + "ok<script>var secret=1</script><span hidden>HID</span><style>.x{display:none}</style>", "ok"),
+        ("<style>.a{visibility:hidden}</style><p class=a>no</p>y", "y"),
+        ("<style>@media print{.a{display:none}}</style><p class=a>yes</p>y", "yes\n\ny"),
+        ("<style>div .a{display:none}</style><p class=a>yes</p><div><p><b class=a>no</b></p></div>", "yes"),
+        ("<style>div > .a{display:none} .b{display:none}.b.c{display:block}</style><div><p><b class=a>yes</b></p><i class=a>no</i></div><p class='b'>no</p><p class='b c'>yes", "yes\n\nyes"),
+        ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>yes</table>", "  yes"),
+        ("<p hidden style='display:block'>yes", "yes"),
+        ("<style>@media screen and (max-width: 600px){p{display:none}}@media (min-width:600px){i{display:none}}</style><p>yes<i>no</i>", "yes"),
     ],
 )
 def test_rendering(html, text):
@@ -304,6 +315,90 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert sorted(map(str, (tuple(r[c] for c in names) for r in rows.collect()))) == sorted(map(str, found.fetchall()))
 
 
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+
+
+def test_wrapped_headers_full_texts_and_rows_of_one_path(spark):
+    head = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n" + "other words of the long text that follow here\n" * 300
+    bsd = "Copyright (c) 2020, Someone\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    rows = [("a/x.py", "#!/usr/bin/python\n" + GPL + "\nimport os", 1), ("b/COPYING", head, 2), ("b/c/y", "none", 3), ("d/LICENSE", bsd, None), ("e/same", "Licensed under CC BY 4.0.", 5), ("e/same", "Released under the MIT License.", 6), ("e/same", "neither", 7)]
+    frame = spark.createDataFrame(rows, "path string, text string, doc_id long")
+    found = sorted(((r.path, r.licence, r.basis, r.doc_id) for r in licenses.scan(frame, keep=("doc_id",)).collect()), key=str)
+    assert found == sorted([("a/x.py", "GPL-3.0", "own", 1), ("b/COPYING", "GPL-3.0", "own", 2), ("b/c/y", "GPL-3.0", "inherited", 3), ("d/LICENSE", "BSD-3-Clause", "own", None), ("e/same", "CC-BY-4.0", "own", 5), ("e/same", "MIT", "own", 6), ("e/same", None, "none", 7)], key=str)
+
+
+COLUMNS = {
+    "op1_licenses": "path licence score basis licence_dir doc_id", "op2_decontaminate": "doc_id item_id start score", "op3_langid": "doc_id held_out lang_pred score", "op4_quality": "doc_id held_out score predicted",
+    "op5_pseudo_lm": "doc_id n_words log_prob mean_log_prob", "op6_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op7_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op8_html": "page_id text", "op9_mixing": "doc_id size source_size target taken", "op10_simhash": "doc_id fingerprint component_id",
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_every_query_covers_its_table(spark, sf, name):
+    rows = queries.queries()[name](spark, sf)
+    assert rows.columns == COLUMNS[name].split()
+    found = rows.collect()
+    if name in ("op2_decontaminate", "op7_chat"):
+        assert found
+        return
+    table, key = ("pages", "page_id") if name == "op8_html" else ("documents", "doc_id")
+    assert sorted(r[key] for r in found) == sorted(r[key] for r in spark.read.parquet(f"{sf}/{table}.parquet").collect())
+
+
+def test_pipeline_equals_a_plain_version_of_every_stage(spark, sf):
+    """Scores from the fitted models row by row, shingle sets and alignments of every pair, and the mix in SQL."""
+    import pyarrow as pa
+    from test_text_operators import brute_components, plain_alignment, plain_features, plain_languages  # noqa: F401
+
+    from tideline.llm import decontaminate, langid, quality
+    from tideline.llm.text import word_lists
+
+    docs, labels, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    rows = docs.collect()
+    x = np.array([plain_features(r.text) for r in rows]).astype(np.float16)
+    g = np.column_stack([np.clip((x - model.mean) / model.scale, -5, 5), np.ones(len(x))]) @ model.weights
+    rows = [r for r, v in zip(rows, g) if 1 / (1 + np.exp(-v)) >= quality.THRESHOLD]
+    kept = spark.createDataFrame(rows, docs.schema)
+    languages = langid.fit(kept.where(~langid.held_out()))
+    rows = [r for r, (lang, score) in zip(rows, plain_languages([r.text for r in rows], languages)) if lang != "und" and score >= corpus_pipeline.SURE]
+
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, parent = {r.doc_id: shingles(r.text) for r in rows}, {r.doc_id: r.doc_id for r in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if b < a and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    rows = [r for r in rows if root(r.doc_id) == r.doc_id]
+
+    def ids(texts):
+        flat, counts = word_lists(pa.array(texts))
+        return np.split(np.array([hash(w) % (1 << 31) for w in flat.to_pylist()]), np.cumsum(counts)[:-1])
+
+    items, texts = ids([r.text for r in bench.collect()]), ids([r.text for r in rows])
+    leaking = [any(decontaminate.align(items, [t] * len(items)) >= decontaminate.THRESHOLD * decontaminate.MATCH * np.array([len(i) for i in items])) for t in texts]
+    rows = [r for r, leaks in zip(rows, leaking) if not leaks]
+    db = duckdb.connect()
+    db.register("documents", pa.table({c: [r[c] for r in rows] for c in ("doc_id", "text", "source")}))
+    found = db.execute(mixing.MIX_SQL)
+    names = [c[0] for c in found.description]
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in corpus_pipeline.run(spark, sf).collect()))) == sorted(map(str, found.fetchall()))
+
+
 def test_pipeline_stages_act_on_what_came_before(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     first = docs.first()

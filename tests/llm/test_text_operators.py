@@ -223,11 +223,107 @@ def test_quality_of_awkward_rows(spark, awkward):
 
 def test_nonnegative_risk_finds_negatives_without_their_labels():
     rng = np.random.default_rng(0)
-    positive = rng.normal(0, 1, (500, 6))
-    unlabelled = np.concatenate([rng.normal(0, 1, (600, 6)), rng.normal(3, 1, (400, 6))])
-    model = quality.train(positive, unlabelled, prior=0.6, steps=400)
-    out = model.outputs(unlabelled)
-    assert np.mean(out[:600] > 0) > 0.95 and np.mean(out[600:] < 0) > 0.95
+    positive = np.column_stack([rng.normal(0, 1, (5000, 6)), np.ones(5000)])
+    unlabelled = np.column_stack([np.concatenate([rng.normal(0, 1, (6000, 6)), rng.normal(3, 1, (4000, 6))]), np.ones(10_000)])
+    metric = np.linalg.inv(unlabelled.T @ unlabelled / 40_000 + 0.1 * np.eye(7))
+    sums = lambda w: quality.loss_sums(unlabelled, w, -1)
+    first = quality.minimise(positive[::2], sums, 0.5, np.zeros(7), metric, 10)
+    counts = [np.bincount(quality.bins_of(z @ first), minlength=quality.BINS) for z in (positive[1::2], unlabelled)]
+    prior = quality.class_prior(*counts)
+    assert prior == pytest.approx(0.6, abs=0.06)
+    out = unlabelled @ quality.minimise(positive, sums, prior, np.zeros(7), metric, 20)
+    assert np.mean(out[:6000] > 0) > 0.95 and np.mean(out[6000:] < 0) > 0.95
+
+
+def plain_features(text):
+    data, said = (text or "").encode(), (text or "").split()
+    if not data:
+        return np.zeros(quality.FEATURES)
+    words = said or [""]
+    shares = [np.sqrt(data.count(bytes([b])) / len(data)) for b in range(256)]
+    same = lambda xs: np.mean([a == b for a, b in zip(xs, xs[1:])]) if len(xs) > 1 else 0
+    return np.array([*shares, np.log1p(len(data)), len(data) / len(words), same(data), same(words), len(set(words)) / len(words)])
+
+
+def test_quality_of_a_whole_table_equals_the_plain_risk(spark, sf):
+    """Features row by row, scores as plain sums, and weights where the risk over the whole table is least."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where(~quality.held_out())
+    model = quality.fit(docs, known, passes=60)
+    rows, positives = docs.collect(), {r.doc_id for r in known.collect() if r.quality == 1}
+    x = np.array([plain_features(r.text) for r in rows])
+    z = np.column_stack([np.clip((x - model.mean) / model.scale, -5, 5), np.ones(len(x))])
+    scores = 1 / (1 + np.exp(-z @ model.weights))
+    found = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert max(abs(found[r.doc_id] - s) for r, s in zip(rows, scores)) < 0.02
+    pos = np.array([r.doc_id in positives for r in rows])
+
+    def risk(w):
+        loss = lambda g: np.mean(np.log1p(np.exp(-g)))
+        negatives = loss(-(z @ w)) - model.prior * loss(-(z[pos] @ w))
+        return model.prior * loss(z[pos] @ w) + np.log1p(np.exp(quality.BEND * negatives)) / quality.BEND + quality.RIDGE / 2 * (w[:-1] ** 2).sum()
+
+    least = risk(model.weights)
+    rng = np.random.default_rng(1)
+    for size in (0.01, 0.03, 0.1, 0.3):
+        assert all(risk(model.weights + rng.normal(0, size, len(model.weights))) > least - 1e-4 for _ in range(20))
+    again = quality.fit(docs.repartition(5), known, passes=10)
+    assert np.abs(again.weights - quality.fit(docs.coalesce(1), known, passes=10).weights).max() < 1e-2
+
+
+def plain_languages(texts, model):
+    """Each text's language by the recursion over its words, letter by letter, in logarithms."""
+    import regex
+
+    logs = {p: np.log(model.probs[i]) for i, p in enumerate(model.pieces)}
+    stray, seen = np.log(langid.STRAY), {}
+
+    def word(w):
+        if w not in seen:
+            w2 = "▁" + w
+            alpha = [np.zeros(len(model.languages))]
+            for end in range(1, len(w2) + 1):
+                terms = [alpha[end - 1] + stray] + [alpha[s] + logs[w2[s:end]] for s in range(max(0, end - 20), end) if w2[s:end] in logs]
+                alpha.append(np.logaddexp.reduce(terms, axis=0))
+            seen[w] = alpha[-1]
+        return seen[w]
+
+    out = []
+    for text in texts:
+        words = regex.findall(r"[\p{L}\p{M}]+", (text or "").lower())
+        if not regex.search(r"\p{L}", text or ""):
+            out.append(("und", 0.0))
+            continue
+        total = sum(word(w) for w in words) / np.sqrt(len(words))
+        share = np.exp(total - np.logaddexp.reduce(total))
+        out.append((model.languages[int(share.argmax())], share.max()))
+    return out
+
+
+def test_languages_of_a_whole_table_equal_the_plain_recursion(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    hard = spark.createDataFrame([(-1, "x" * 60 + " und der die das", None), (-2, "\u0301\u0302", None), (-3, "हिन्दी भाषा " * 30, None), (-4, "donaudampfschifffahrtsgesellschaft" * 40, None), (-5, "漢字仮名交じり文" * 50, None), (-6, "1 2", None), (-7, None, None)], docs.schema)
+    model = langid.fit(docs.where(~langid.held_out()))
+    table = docs.unionByName(hard)
+    rows = table.collect()
+    found = {r.doc_id: r for r in langid.identify(table, model).collect()}
+    for r, (lang, score) in zip(rows, plain_languages([r.text for r in rows], model)):
+        assert found[r.doc_id].lang_pred == lang and found[r.doc_id].score == pytest.approx(score, abs=1e-6)
+
+
+def test_long_words_are_summed_whole():
+    pieces = ["▁", "▁a", "a", "b", "ab", "abc", "c", "bc"]
+    table = langid.PieceTable(pieces)
+    probs = np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2).T
+    words = ["abcab" * n + "z" for n in (1, 3, 7, 8, 9, 40)]
+    score = lambda: (langid.word_scores(words, table, probs), langid.expected_counts(words, np.ones(6), table, probs[:, 0]))
+    whole = score()
+    before, langid.PLAIN = langid.PLAIN, 2
+    try:
+        logs = score()
+    finally:
+        langid.PLAIN = before
+    assert all(np.allclose(a, b) for a, b in zip(whole, logs))
 
 
 def test_pseudo_likelihood(spark, awkward):
@@ -268,14 +364,81 @@ def test_training_takes_every_word_of_the_corpus(spark, sf, monkeypatch, tmp_pat
     assert sum(map(int, (tmp_path / "steps").read_text().split())) == words
 
 
-def test_class_probabilities_sum_to_one():
-    counts = np.array([50.0, 20, 10, 5, 5, 3, 2, 5])
-    word_class, within = pseudo_lm.classes_of(counts, 4)
-    assert np.allclose(np.bincount(word_class, np.exp(within)), 1)
-    params = pseudo_lm.start_params(7)
-    context = np.array([[0, 1, 2, 3]])
-    total = sum(np.exp(pseudo_lm.class_log_probs(params, context, np.array([c]))[0]) for c in range(pseudo_lm.CLASSES))
-    assert total == pytest.approx(1, abs=1e-4)
+def test_word_probabilities_sum_to_one():
+    counts = np.array([50.0, 20, 10, 5, 5, 3, 2, 5] + [0.01] * 200 + [4])
+    words = [f"w{i}" for i in range(len(counts) - 1)]
+    model = pseudo_lm.WindowModel(words, pseudo_lm.classes_of(counts, pseudo_lm.CLASSES), pseudo_lm.start_params(counts))
+    context = np.tile([0, 1, 2, 3], (len(counts), 1))
+    assert np.exp(pseudo_lm.word_log_probs(model, context, np.arange(len(counts)))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, sf, monkeypatch):
+    monkeypatch.setattr(pseudo_lm, "SHARD_WORDS", 5000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, many = ({r.doc_id: r.log_prob for r in pseudo_lm.fit_and_score(d).collect()} for d in (docs.coalesce(1), docs.repartition(9)))
+    assert one == pytest.approx(many, rel=1e-4)
+
+
+def test_pseudo_likelihood_of_a_table_equals_a_plain_network(spark, sf):
+    """One shard, trained place by place with loops over all words of a class, then scored the same way."""
+    import re
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 6").select("doc_id", F.substring("text", 1, 900).alias("text"))
+    texts = {r.doc_id: re.findall(r"[^\W_]+", r.text.lower()) for r in docs.collect()}
+    all_words = [w for t in texts.values() for w in t]
+    counted = sorted({w: all_words.count(w) for w in set(all_words)}.items(), key=lambda x: (-x[1], x[0]))
+    vocabulary, counts = [w for w, _ in counted], np.array([float(n) for _, n in counted] + [1.0])
+    ids = {w: i for i, w in enumerate(vocabulary)}
+    kinds = pseudo_lm.classes_of(counts, pseudo_lm.CLASSES)
+    params = [p.astype(float) for p in pseudo_lm.start_params(counts)]
+    members = {c: [i for i, k in enumerate(kinds) if k == c] for c in set(kinds)}
+    outside = len(vocabulary) + 1
+    around = lambda own, i: [own[j] if 0 <= j < len(own) else outside for j in range(i - pseudo_lm.SIDE, i + pseudo_lm.SIDE + 1) if j != i]
+
+    def forward(context, wanted):
+        e, w1, b1, w2, b2, w3, b3 = params
+        x = np.concatenate([e[c] for c in context])
+        h = np.tanh(x @ w1 + b1)
+        p = np.exp(h @ w2 + b2)
+        own = members[kinds[wanted]]
+        q = np.exp([w3[i] @ h + b3[i] for i in own])
+        return x, h, p / p.sum(), own, q / q.sum()
+
+    encoded = spark.createDataFrame([(i, [ids[w] for w in t]) for i, t in texts.items()], "doc_id long, ids array<int>")
+    order = [r.doc_id for r in encoded.orderBy(F.xxhash64("ids", F.col("doc_id").cast("string"))).collect()]
+    for phase in range(pseudo_lm.ROUNDS):
+        seen = [np.full_like(p, 1e-3) for p in params]
+        places = [(around([ids[w] for w in texts[d]], i), ids[texts[d][i]]) for d in order for i in range(len(texts[d])) if i % pseudo_lm.ROUNDS == phase]
+        assert len(places) <= 4096
+        grads = [np.zeros_like(p) for p in params]
+        for context, wanted in places:
+            x, h, p, own, q = forward(context, wanted)
+            p[kinds[wanted]] -= 1
+            dh = params[3] @ p
+            if len(own) > 1:
+                q[own.index(wanted)] -= 1
+                for i, g in zip(own, q):
+                    dh = dh + g * params[5][i]
+                    grads[5][i] += g * h
+                    grads[6][i] += g
+            grads[3] += np.outer(h, p)
+            grads[4] += p
+            dh = dh * (1 - h * h)
+            grads[1] += np.outer(x, dh)
+            grads[2] += dh
+            for j, c in enumerate(context):
+                grads[0][c] += params[1][j * pseudo_lm.WIDTH : (j + 1) * pseudo_lm.WIDTH] @ dh
+        for i, g in enumerate(grads):
+            g = g / len(places)
+            seen[i] += g * g
+            params[i] = params[i] - 0.1 * g / np.sqrt(seen[i])
+    found = {r.doc_id: r.log_prob for r in pseudo_lm.fit_and_score(docs).collect()}
+    for d, words in texts.items():
+        own, total = [ids[w] for w in words], 0.0
+        for i, wanted in enumerate(own):
+            _, _, p, mine, q = forward(around(own, i), wanted)
+            total += np.log(p[kinds[wanted]]) + np.log(q[mine.index(wanted)])
+        assert found[d] == pytest.approx(total, rel=1e-3)
 
 
 def plain_alignment(a, b):
@@ -304,7 +467,7 @@ def test_leaks_exact_edited_and_none(spark):
         [(1, filler + item.upper() + " " + filler), (2, filler + edited), (3, gapped), (4, filler * 3), (5, None), (6, ""), (7, " ".join(words[:5])), (None, item), (8, filler * 3000 + item), (9, item + " " + item)],
         "doc_id long, text string",
     )
-    bench = spark.createDataFrame([(10, item), (11, "too short"), (12, None), (13, ""), (None, "no id at all here"), (10, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, "not there"), (12, None), (13, ""), (None, "no id at all here"), (10, item)], "item_id long, text string")
     found = decontaminate.find_leaks(docs, bench).collect()
     assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 10), (1, 10), (2, 10), (3, 10), (8, 10), (9, 10), (9, 10)]
     assert all(r.score == 1 for r in found if r.doc_id in (1, 8, 9))
@@ -340,3 +503,57 @@ def test_a_benchmark_larger_than_a_pass_is_read_in_passes(spark, sf, monkeypatch
     monkeypatch.setattr(decontaminate, "PASS_CHARS", 3000)
     assert sorted(decontaminate.find_leaks(docs, bench).drop("row_key").collect()) == sorted(whole)
     assert isinstance(whole, list) and all(isinstance(r, Row) for r in whole)
+
+
+def test_short_items_string_ids_and_shared_phrases(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"which of the following is {i} and nothing else besides") for i in range(300)] + [("x", "say xyzzy loudly"), ("y", "two words here")], "doc_id string, text string")
+    items = [(f"i{i}", "which of the following " + " ".join(f"q{i}w{j}" for j in range(20))) for i in range(200)] + [("short", "xyzzy"), ("pair", "two words")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in found) == [("x", "short", 1.0), ("y", "pair", 1.0)]
+
+
+def test_common_seeds_meet_no_items():
+    import pyarrow as pa
+
+    texts = ["which of the following " + " ".join(f"q{i}w{j}" for j in range(20)) for i in range(50)]
+    items = decontaminate.Items.of(pa.array(range(50)), pa.array(texts), 3)
+    seen = np.where(np.bincount(np.searchsorted(np.unique(items.keys), items.keys))[np.searchsorted(np.unique(items.keys), items.keys)] > 1, 1000, 0)
+    assert len(items.rare(seen).keys) == 0
+    assert len(items.rare(np.full(len(items.keys), 10**9)).keys) >= 50 * 20  # a benchmark that all documents share is still found
+
+
+def test_alignment_of_many_pairs_is_bounded_and_alike():
+    rng = np.random.default_rng(8)
+    left = [rng.integers(0, 4, rng.integers(1, 9)) for _ in range(40)]
+    right = [rng.integers(0, 4, rng.integers(1, 60)) for _ in range(40)]
+    assert decontaminate.align_all(left, right, cells=100).tolist() == decontaminate.align(left, right).tolist() == [plain_alignment(a, b) for a, b in zip(left, right)]
+
+
+def test_a_probe_meets_every_near_point_and_leaves_stay_even_at_a_million():
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 1 << 64, 1 << 20, dtype=np.uint64, endpoint=False)
+    mask = simhash.rest_of([])
+    tree = simhash.grow_tree(points[: simhash.FIT_SAMPLE], mask, 9, seed=0)
+    point, leaf, probes = simhash.route(points, tree, mask, 4)
+    homes = np.bincount(leaf[~probes], minlength=1 << 10)[1 << 9 :]
+    assert homes.sum() == len(points) and homes.max() < 4 * homes.mean()
+    near = points[:300] ^ np.uint64(1 << 5 | 1 << 40 | 1 << 63)
+    both = np.concatenate([points[:300], near])
+    point, leaf, probes = simhash.route(both, tree, mask, 4)
+    home = {int(p): int(x) for p, x, v in zip(point, leaf, probes) if not v}
+    visits = {(int(p), int(x)) for p, x, v in zip(point, leaf, probes)}
+    assert all((i, home[i + 300]) in visits or (i + 300, home[i]) in visits for i in range(300))
+
+
+def test_ties_and_repeated_rows_share_one_fate(spark):
+    text = "ein kurzer text und noch einer the same again"
+    docs = spark.createDataFrame([(i % 3, text, "de" if i % 2 else "en") for i in range(12)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len({(r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}) == 1
+    scored = quality.score(docs, quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))).collect()
+    assert len({r.score for r in scored}) == 1 and len(scored) == 12
+    logs = [r.log_prob for r in pseudo_lm.fit_and_score(docs).collect()]
+    assert len(logs) == 12 and logs == pytest.approx([logs[0]] * 12, rel=1e-6)
+    bench = spark.createDataFrame([(1, text), (2, text)], "item_id long, text string")
+    assert len(decontaminate.find_leaks(docs, bench).collect()) == 24
