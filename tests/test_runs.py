@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import content, history, order, runs, state
+from tideline.operators import content, edit, history, order, runs, state
 from tideline.sources import messages, updates, wire
 
 ITEMS = "doc_id long, client long, clock long, len long, origin_client long, origin_clock long, content string"
@@ -219,3 +219,37 @@ def test_a_request_is_answered_with_what_it_lacks(spark):
     reply = messages.decode_sync(messages.replies(messages.decode_sync(asks), whole))
     assert reply.first().kind == 1
     assert [(r.clock, r.str) for r in updates.decode_updates(messages.incoming(reply)).collect()] == [(2, "cd")]
+
+
+def applied(spark, rows, new, gone):
+    """The values after ``new`` structs and ``gone`` ranges are added to ``rows``, all by way of bytes."""
+    base = wire.encode_updates(spark.createDataFrame(rows, "doc_id long, " + wire.STRUCT), spark.createDataFrame([], RANGES))
+    more = wire.encode_updates(new.select("doc_id", *[c.split()[0] for c in wire.STRUCT.replace("struct<client:long,clock:long>", "x").replace("array<string>", "x").split(", ")]), gone)
+    return content.placed_items(updates.decode_updates(base.unionByName(more)))
+
+
+def test_maps_are_written_and_deleted(spark):
+    rows = [struct(1, 0, "any", vals=["1"], parent_name="m", parent_sub="a"), struct(1, 1, "any", vals=["2"], parent_name="m", parent_sub="b")]
+    items = placed(spark, [rows])
+    writes = spark.createDataFrame([(1, "/m", "a", "10", 5, 0), (1, "/m", "a", "11", 5, 1), (1, "/m", "c", '"new"', 1, 2)], "doc_id long, parent string, key string, value string, client long, seq long")
+    new, gone = edit.map_set(items, writes)
+    assert sorted((r.client, r.clock) for r in gone.collect()) == [(1, 0), (5, 0)]
+    gone = gone.unionByName(edit.map_delete(items, spark.createDataFrame([(1, "/m", "b"), (1, "/m", "none")], "doc_id long, parent string, key string")))
+    assert content.maps(applied(spark, rows, new, gone)).first().json == '{"a":11,"c":"new"}'
+
+
+def test_texts_are_formatted_and_lists_and_xml_edited(spark):
+    """By client 0: of two runs that follow one unit that of the lower client stands first, so what a higher one puts inside a run lands after it."""
+    rows = [struct(1, 0, "string", 6, str="abcdef", parent_name="t"), struct(1, 6, "type", type_class=3, node_name="p", parent_name="x"), struct(1, 7, "any", 2, vals=["1", "2"], parent_name="l")]
+    items = placed(spark, [rows])
+    formats = spark.createDataFrame([(1, "/t", 2, 3, "bold", "true", 0, 0)], "doc_id long, parent string, index long, n long, key string, value string, client long, seq long")
+    rich = content.rich_text(applied(spark, rows, edit.format_at(items, formats), spark.createDataFrame([], RANGES))).where("parent = '/t'").orderBy("step").collect()
+    assert [(r.insert, r.attributes) for r in rich] == [("ab", None), ("cde", {"bold": "true"}), ("f", None)]
+    nodes = "doc_id long, parent string, index long, client long, seq long, content_type string, len long, str string, vals array<string>, type_class int, node_name string"
+    inserts = [(1, "/x", 1, 0, 0, "type", 1, None, None, 3, "br"), (1, "/x", 0, 0, 1, "type", 1, None, None, 3, "h"), (1, "1:6", 0, 0, 2, "type", 1, None, None, 6, None), (1, "0:2", 0, 0, 3, "string", 2, "hi", None, None, None), (1, "/l", 1, 0, 4, "any", 1, None, ["9"], None, None), (1, "/t", 3, 0, 5, "string", 1, "X", None, None, None)]
+    new = edit.insert_nodes(items, spark.createDataFrame(inserts, nodes))
+    gone = edit.delete_children(items, spark.createDataFrame([(1, "/l", 0, 1), (1, "/t", 4, 9)], "doc_id long, parent string, index long, n long"))
+    after = applied(spark, rows, new, gone).cache()
+    assert content.xml(after, "/x").first().xml == "<h></h><p>hi</p><br></br>"
+    assert {r.parent: r.json for r in content.lists(after).collect()} == {"/l": "[9,2]"}
+    assert {r.parent: r.text for r in content.texts(after).collect()}["/t"] == "abcXd"

@@ -606,10 +606,15 @@ def _streamed(spark, sf_dir, log: DataFrame, apply) -> DataFrame:
 
 @query(f"SELECT doc_id, client, CAST(max(clock) + 1 AS BIGINT) AS next_clock, count(*) AS n_units FROM ({EDITS_SQL}) GROUP BY ALL")
 def stream_causal_order(spark, sf_dir):
-    """The log dealt over files at random, with a third of it twice: every unit comes out once, in order of its client."""
+    """The log dealt over files at random, with a third of it twice, and read in several batches: runs wait from batch to batch, and every unit comes out once."""
     log = _log(spark, sf_dir).select("doc_id", "client", "clock", "len")
-    twice = log.unionByName(log.where("clock % 3 = 1")).repartition(8, F.xxhash64("doc_id", "client", "clock") % 8)
-    released = _streamed(spark, sf_dir, twice, live.in_causal_order)
+    twice = log.unionByName(log.where("clock % 3 = 1"))
+    files = max(4, twice.count() // 1_000_000)
+    base = f"{scratch_dir(spark)}/tideline-stream-{uuid.uuid4().hex}"
+    twice.repartition(files, F.xxhash64("client", "clock", "doc_id")).write.parquet(f"{base}/log")
+    stream = live.read_log(spark, f"{base}/log", log.schema, files_per_batch=(files + 1) // 2)
+    live.release_runs(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    released = spark.read.parquet(f"{base}/out/released")
     return released.groupBy("doc_id", "client").agg(F.max(F.col("clock") + F.col("len")).alias("next_clock"), F.sum("len").alias("n_units"))
 
 
