@@ -220,7 +220,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, whol
     place = ["tree", "code", "leaf"]
     routed = materialize(prints.select("fp").mapInArrow(to_leaves, "fp long, tree int, code long, leaf int, probes boolean"), "leaves")
     tiles = lambda probes, size: F.ceil(F.sum((F.col("probes") == probes).cast("long")) / size).cast("int")
-    sizes = routed.groupBy(place).agg(tiles(False, shard).alias("homes"), tiles(True, 4 * shard).alias("visits"))
+    sizes = materialize(routed.groupBy(place).agg(tiles(False, shard).alias("homes"), tiles(True, 4 * shard).alias("visits")), "sizes")
     # A leaf's home tiles meet each other (across 0), and each of them each tile of its probes (across 1).
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("probes"), F.col("visits")).otherwise(F.col("homes")).cast("long")).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -230,7 +230,9 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, whol
     as_probe = F.transform(upto("homes"), lambda t: meet(1, t, F.col("own")))
     groups = F.when(F.col("probes"), as_probe).when(F.col("visits") > 0, F.concat(with_homes, with_probes)).otherwise(with_homes)
     dealt = routed.join(sizes, place).where("homes > 0").withColumn("own", own).select("fp", "probes", *place, F.inline(groups))
-    return dealt.groupBy("tree", "code", "leaf", "across", "a", "b").applyInArrow(links, "u long, v long")
+    # Dealt by tile, not by leaf, so that the tiles of a large leaf are the work of many tasks.
+    group = [*place, "across", "a", "b"]
+    return dealt.repartition(*group).groupBy(*group).applyInArrow(links, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -267,8 +269,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are one component; long texts are compared whole; an empty table stays
     empty; columns of any name pass through.
     """
-    firsts = near_copies.first_rows(docs, id_col, text_col, shingle, similar)
-    firsts = firsts.select(F.col("doc_id").alias("_first_id"), F.col("text_key").alias("_first_text"))
-    same = docs[id_col].eqNullSafe(firsts["_first_id"]) & (F.xxhash64(docs[text_col]) == firsts["_first_text"])
+    firsts = materialize(near_copies.first_rows(docs, id_col, text_col, shingle, similar), "firsts")
+    text_key = F.xxhash64(docs[text_col])
+
+    def rows_of(which: DataFrame) -> DataFrame:
+        which = which.select(F.col("doc_id").alias("_first_id"), F.col("text_key").alias("_first_text"))
+        return docs.join(which, docs[id_col].eqNullSafe(which["_first_id"]) & (text_key == which["_first_text"]))
+
+    # Of the few rows that repeat an id and text one is picked; all others are there once, and their texts need not move.
     nth = F.row_number().over(Window.partitionBy("_first_id", "_first_text").orderBy("_first_id"))
-    return docs.join(firsts, same).withColumn("_nth_of_row", nth).where("_nth_of_row = 1").select(docs.columns)
+    picked = rows_of(firsts.where("repeats")).withColumn("_nth_of_row", nth).where("_nth_of_row = 1")
+    return rows_of(firsts.where("not repeats")).select(docs.columns).unionByName(picked.select(docs.columns))
