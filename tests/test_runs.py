@@ -253,3 +253,28 @@ def test_texts_are_formatted_and_lists_and_xml_edited(spark):
     assert content.xml(after, "/x").first().xml == "<h></h><p>hi</p><br></br>"
     assert {r.parent: r.json for r in content.lists(after).collect()} == {"/l": "[9,2]"}
     assert {r.parent: r.text for r in content.texts(after).collect()}["/t"] == "abcXd"
+
+
+def test_the_past_is_encoded_from_a_snapshot(spark):
+    from tideline.plans import scratch
+    from tideline.sources import merge
+
+    rows = [struct(1, 0, "string", 6, str="abcdef", parent_name="t"), struct(2, 0, "format", fmt_key="bold", vals=["undefined"], parent_name="t")]
+    whole = wire.encode_updates(spark.createDataFrame(rows, "doc_id long, " + wire.STRUCT), spark.createDataFrame([(1, 1, 0, 6)], RANGES))
+    taken = spark.createDataFrame([(1, [(1, 4)], [(1, 1, 1)])], "doc_id long, sv array<struct<client:long,next_clock:long>>, ds array<struct<client:long,clock:long,len:long>>")
+    items = content.placed_items(updates.decode_updates(merge.encode_from_snapshot(whole, taken)))
+    assert [r.text for r in content.texts(items).collect()] == ["acd"]
+    assert [r.vals for r in updates.decode_updates(whole).where("content_type = 'format'").collect()] == [["null"]]
+    path = scratch.materialize(spark.range(3), "kept").scratch_path
+    assert spark.read.parquet(path).count() == 3
+    scratch.discard(scratch.materialize(spark.range(1), "gone"))
+    assert path in scratch._written
+
+
+def test_a_long_document_is_written_in_parts(spark):
+    rows = [struct(1, 2 * i, "string", 2, str=f"{i:02d}", **({"origin": (1, 2 * i - 1)} if i else {"parent_name": "t"})) for i in range(9)]
+    frame, gone = spark.createDataFrame(rows, "doc_id long, " + wire.STRUCT), spark.createDataFrame([(1, 1, 0, 1), (1, 1, 3, 1), (1, 1, 9, 2)], RANGES)
+    parts = wire.encode_in_parts(frame, gone, most=2)
+    assert parts.count() == 5 and wire.encode_in_parts(frame, gone).count() == 1
+    one, many = ({r.text for r in content.texts(content.placed_items(updates.decode_updates(p))).collect()} for p in (wire.encode_updates(frame, gone), parts))
+    assert one == many == {"".join(c for i, c in enumerate("000102030405060708") if i not in (0, 3, 9, 10))}

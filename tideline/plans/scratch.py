@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_written: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,6 +27,7 @@ def scratch_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _local_dirs:
         _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="tideline-")
+        atexit.register(shutil.rmtree, _local_dirs[sc.applicationId], ignore_errors=True)
     return _local_dirs[sc.applicationId]
 
 
@@ -35,6 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -54,6 +59,14 @@ def discard(*tables: DataFrame) -> None:
         path = getattr(table, "scratch_path", None)
         if path:
             delete_folder(table.sparkSession, path)
+            _written.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables that this process has written: for a driver that has used or stored the results it wanted."""
+    for path in list(_written):
+        delete_folder(spark, path)
+        _written.discard(path)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

@@ -15,7 +15,7 @@ from tideline.sources import messages
 from tideline.sources.columnar import decode_columnar, encode_columnar
 from tideline.sources.tables import EDITS_SQL, TALK_SQL, TREE_SQL, TURNS_SQL, conversation_log, edits, table, tree_items, turns
 from tideline.sources.updates import decode_state_vectors, decode_updates, resolve_parents
-from tideline.sources.wire import encode_presence, encode_snapshots, encode_state_vectors, encode_updates, presence_frame, sync_frame, sync_message
+from tideline.sources.wire import encode_in_parts, encode_presence, encode_snapshots, encode_state_vectors, encode_updates, presence_frame, sync_frame, sync_message
 from tideline.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,9 +455,9 @@ SELECT doc_id, client, clock, CASE WHEN event_type = 'view' THEN 'string' ELSE '
 def update_round_trip(spark, sf_dir):
     """Every document's log as one binary update, read back into rows."""
     structs = _structs(spark, sf_dir)
-    rows = materialize(decode_updates(encode_updates(structs, structs.where("deletes"))), "decoded")
+    rows = materialize(decode_updates(encode_in_parts(structs, structs.where("deletes"))), "decoded")
     log = rows.where("content_type != 'range' and error is null")
-    gone = state.in_delete_set(log, rows.where("content_type = 'range'")).select("doc_id", "client", "clock", F.lit(True).alias("deletes"))
+    gone = state.in_delete_set(log.select("doc_id", "client", "clock", "len"), rows.where("content_type = 'range'")).select("doc_id", "client", "clock", F.lit(True).alias("deletes"))
     value = F.get_json_object(F.element_at("vals", 1), "$.value").cast("double")
     return log.join(gone, ["doc_id", "client", "clock"], "left").select("doc_id", "client", "clock", "content_type", "str", "parent_sub", value.alias("value"), F.coalesce("deletes", F.lit(False)).alias("deletes"))
 
@@ -468,7 +468,7 @@ def columnar_round_trip(spark, sf_dir):
     structs = _structs(spark, sf_dir)
     rows = materialize(decode_columnar(encode_columnar(structs, structs.where("deletes"))), "decoded")
     log = rows.where("content_type != 'range' and error is null")
-    gone = state.in_delete_set(log, rows.where("content_type = 'range'")).select("doc_id", "client", "clock", F.lit(True).alias("deletes"))
+    gone = state.in_delete_set(log.select("doc_id", "client", "clock", "len"), rows.where("content_type = 'range'")).select("doc_id", "client", "clock", F.lit(True).alias("deletes"))
     value = F.get_json_object(F.element_at("vals", 1), "$.value").cast("double")
     return log.join(gone, ["doc_id", "client", "clock"], "left").select("doc_id", "client", "clock", "content_type", "str", "parent_sub", value.alias("value"), F.coalesce("deletes", F.lit(False)).alias("deletes"))
 

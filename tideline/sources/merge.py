@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.runs import cut_front, without_overlaps
+from tideline.operators.runs import cut, cut_front, without_overlaps
 from tideline.plans.scratch import materialize
 from tideline.sources.columnar import decode_columnar, encode_columnar
 from tideline.sources.updates import decode_updates
@@ -33,6 +33,18 @@ def diff_encoded(updates: DataFrame, known: DataFrame, decode: Callable = decode
     return encode(cut_front(joined, offset).drop("next_clock"), ranges)
 
 
+def encode_from_snapshot(updates: DataFrame, snapshots: DataFrame, decode: Callable = decode_updates, encode: Callable = encode_updates) -> DataFrame:
+    """(doc_id, update): each document of ``updates`` as it was at ``snapshots(doc_id, sv, ds)``: units below the state vector, deleted as the snapshot says.
+
+    Documents without a snapshot are left out; runs are cut at the border.
+    """
+    structs, _ = _parts(materialize(decode(updates), "past"))
+    vector = snapshots.select("doc_id", F.inline("sv")).withColumnRenamed("next_clock", "_upto")
+    below = without_overlaps(structs).join(vector, ["doc_id", "client"])
+    below = cut(below, F.lit(0), F.least(F.col("len"), F.col("_upto") - F.col("clock"))).drop("_upto")
+    return encode(below, snapshots.select("doc_id", F.inline("ds")))
+
+
 def to_columnar(updates: DataFrame) -> DataFrame:
     """Updates in the row format as updates in the columnar one, one for each document."""
     return merge_encoded(updates, decode_updates, encode_columnar)

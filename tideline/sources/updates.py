@@ -138,7 +138,8 @@ def _content(kind: str | None, reader: Reader, row: dict) -> None:
     elif kind == "embed":
         row["vals"] = [json.dumps(reader.any())]
     elif kind == "format":
-        row["fmt_key"], row["vals"] = reader.text(), [reader.text()]
+        row["fmt_key"], value = reader.text(), reader.text()
+        row["vals"] = ["null" if value == "undefined" else value]
     elif kind == "type":
         row["type_class"] = reader.byte()
         if row["type_class"] == 3:

@@ -128,7 +128,7 @@ def any_values(vals: pd.Series) -> pd.Series:
     def one(texts):
         out = bytearray()
         for text in [] if texts is None else texts:
-            write_any(json.loads(text), out)
+            write_any(None if text == "undefined" else json.loads(text), out)
         return bytes(out)
 
     return vals.map(one)
@@ -197,6 +197,21 @@ def encode_updates(structs: DataFrame, ranges: DataFrame) -> DataFrame:
     return both.select("doc_id", F.concat(F.coalesce("structs", none), F.coalesce("ds", none)).alias("update"))
 
 
+#: Structs or ranges of one update at most, well below what a reader takes.
+PART = 1 << 18
+
+
+def encode_in_parts(structs: DataFrame, ranges: DataFrame, most: int = PART) -> DataFrame:
+    """(doc_id, update): each document as one update or, where it has more than ``most`` structs or ranges, several; readers merge them in any order."""
+
+    def parts(rows: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("client", "clock")) - 1
+        return rows.withColumn("_part", F.floor(nth / most)).withColumn("doc_id", F.struct("doc_id", "_part")).drop("_part")
+
+    whole = encode_updates(parts(structs), parts(compact_ranges(ranges.select("doc_id", "client", "clock", "len"))))
+    return whole.select("doc_id.doc_id", "update")
+
+
 def encode_snapshots(log: DataFrame, ranges: DataFrame) -> DataFrame:
     """(doc_id, snapshot): state vector and delete set, each with its length before it."""
     vectors = encode_state_vectors(state_vector(log))
