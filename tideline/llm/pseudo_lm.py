@@ -89,7 +89,7 @@ def contexts(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
 def padded(ids: np.ndarray, counts: np.ndarray, outside: int) -> tuple[np.ndarray, np.ndarray]:
     """All documents' ids in one array with SIDE places of ``outside`` around each, and the place of each id."""
     places = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(counts)), counts))
-    flat = np.full(len(ids) + SIDE * (len(counts) + 1), outside, dtype=np.int64)
+    flat = np.full(len(ids) + SIDE * (len(counts) + 1), outside, dtype=np.int32)
     flat[places] = ids
     return flat, places
 
@@ -106,8 +106,8 @@ def soften(z: np.ndarray) -> np.ndarray:
 
 def by_class(model: WindowModel, wanted: np.ndarray):
     """(class, its first word, the word after its last, the places that want a word of it), for classes of several words."""
-    kinds = model.word_class[wanted]
-    order = np.argsort(kinds, kind="stable")
+    kinds = model.word_class[wanted].astype(np.uint16)
+    order = np.argsort(kinds, kind="stable")  # 16 bits sort by counting
     cuts = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(cuts)):
         low, high = model.bounds[c], model.bounds[c + 1]
@@ -161,7 +161,7 @@ class Trainer:
             self.told[low:high] += len(at)
         dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, WIDTH)
-        words = context.reshape(-1)
+        words = context.reshape(-1).astype(np.uint16)
         order = np.argsort(words, kind="stable")
         sorted_words = words[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_words[1:] != sorted_words[:-1])))
@@ -207,7 +207,7 @@ def masked_places(counts: np.ndarray, phase: int) -> np.ndarray:
     return np.flatnonzero(within % ROUNDS == phase)
 
 
-def train_round(sharded: DataFrame, model: WindowModel, phase: int, batch_size: int = 4096) -> list[np.ndarray]:
+def train_round(sharded: DataFrame, model: WindowModel, phase: int, batch_size: int = 8192) -> list[np.ndarray]:
     """Each shard trains from the model's parameters on its documents in their order; the result is the shards' mean, weighted by use."""
     outside = len(model.vocabulary) + 1
 
