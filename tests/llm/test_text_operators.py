@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, langid, near_copies, pseudo_lm, quality, simhash
+from tideline.plans.keyset import may_hold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long"
 LONG = "alpha beta gamma delta " * 20_000
@@ -149,6 +150,31 @@ def test_dedup_keeps_one_of_texts_that_share_four_fifths_of_their_shingles(spark
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == sorted(others)
 
 
+def test_dedup_nominates_by_the_trees(spark, monkeypatch):
+    words = [f"w{x}" for x in np.random.default_rng(3).integers(0, 5000, 3000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "quite another text than those two are")], "doc_id long, text string")
+    asked, near = [], simhash.near_pairs
+
+    def spy(prints):
+        asked.append(([r.fp for r in prints.collect()], [tuple(r) for r in near(prints).collect()]))
+        return near(prints)
+
+    monkeypatch.setattr(simhash, "near_pairs", spy)
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == [1, 3]
+    (prints, links), wanted = asked[0], [simhash.fingerprint(r.text, near_copies.SHINGLE) for r in docs.collect()]
+    assert {x & (2**64 - 1) for x in prints} == set(wanted)
+    assert wanted[0] == wanted[1] or {x & (2**64 - 1) for x in links[0]} == set(wanted[:2])
+
+
+def test_a_key_filter_misses_no_key(spark):
+    test = may_hold(spark.range(0, 200_000, 2).select(F.xxhash64("id").alias("key")))
+    rows = spark.range(200_000).select("id", test(F.xxhash64("id")).alias("held")).groupBy(F.col("id") % 2, "held").count().collect()
+    found = {(r[0], r.held): r["count"] for r in rows}
+    assert found[(0, True)] == 100_000 and found.get((1, True), 0) < 2000
+    none = may_hold(spark.range(0).select(F.xxhash64("id").alias("key")))
+    assert spark.range(9).where(none(F.xxhash64("id"))).count() == 0
+
+
 def test_forward_algorithm_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "abc", "c", "bc"]
     table = langid.PieceTable(pieces)

@@ -1,22 +1,26 @@
 """Near copies by their shared word shingles: all texts whose sets of shingles are alike, confirmed on the sets.
 
-MinHash bands only nominate: texts that share a band are joined into blocks, and
-within a block every text meets every other on its exact set of shingles, so no
-link is false. With 40 bands of 6 a pair at similarity 0.8 misses all of them
-once in 190,000 times, one above it less often.
+Fingerprints nominate texts, by the search that the caller gives, and MinHash
+bands those whose fingerprints lie too far apart. Nominated texts are joined into
+blocks, and within a block every text meets every other on its exact set of
+shingles, so no link is false. With 40 bands of 6 a pair at similarity 0.8 misses
+all of them once in 190,000 times, one above it less often.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.text import bounded_batches
 from tideline.plans.components import connected_components
+from tideline.plans.keyset import may_hold
 from tideline.plans.scratch import discard, materialize
 
 SEED = 42
@@ -32,8 +36,23 @@ _FLIP = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a whole text's shingles; a text of fewer words is one shingle, without words none."""
+_SPREAD = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], dtype=np.uint64)
+
+
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit ``hashes`` have each bit set."""
+    lanes = _SPREAD[hashes.view(np.uint8)].reshape(-1, 8)
+    sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
+    return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def majority_bits(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes of which ``counts`` have each bit set."""
+    return int(((2 * counts > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The 64-bit hashes of a whole text's shingles, repeats included; a text of fewer words is one shingle, without words none."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
@@ -42,7 +61,12 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=n))
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=n)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -95,23 +119,27 @@ def block_links(nodes: np.ndarray, flat: np.ndarray, counts: np.ndarray, similar
     return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
 
 
-def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, text_key, repeats): the first row of each component of near copies, which is that of the least doc_id, then text_key.
+def first_rows(docs: DataFrame, near_prints: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Two tables of (doc_id, text_key). First the first row of each component of near copies, which is that of the least doc_id, then text_key.
 
     ``text_key`` is the hash of the text, 42 for a null one; ``repeats`` tells whether several rows have both. Texts of equal sets
-    of shingles are copies; those of similarity ``similar`` or more are linked.
+    of shingles are copies; those of similarity ``similar`` or more are linked. ``near_prints`` links distinct SimHash fingerprints
+    (fp) that lie near each other as (u, v). The second table has the ids and texts of all rows but those that stand alone for their
+    component.
     """
     own = bounded_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")))
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches):
         for batch in batches:
-            keys, bands = np.empty(batch.num_rows, dtype=np.int64), np.empty((batch.num_rows, BANDS), dtype=np.int64)
+            keys, prints, bands = np.empty(batch.num_rows, dtype=np.int64), np.empty(batch.num_rows, dtype=np.uint64), np.empty((batch.num_rows, BANDS), dtype=np.int64)
             for i, text in enumerate(batch.column(1)):
-                shingles = shingle_set(text.as_py(), shingle)
+                hashes = shingle_hashes(text.as_py(), shingle)
+                shingles = np.unique(hashes)
                 keys[i], bands[i] = set_key(shingles), band_keys(shingles)
+                prints[i] = majority_bits(set_bits(hashes), len(hashes)) if len(hashes) else 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys), lists], ["doc_id", "text_key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys), pa.array(prints.view(np.int64)), lists], ["doc_id", "text_key", "node", "fp", "bands"])
 
     def to_sets(batches):
         for batch in batches:
@@ -129,19 +157,27 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = block_links(table.column("node").to_numpy(), flat, table.column("n").to_numpy().astype(np.int64), similar)
         return pa.table({"u": found[:, 0], "v": found[:, 1]})
 
-    sketched = materialize(own.mapInArrow(sketch, f"doc_id {kind}, text_key long, node long, bands array<long>"), "sketches")
+    sketched = materialize(own.mapInArrow(sketch, f"doc_id {kind}, text_key long, node long, fp long, bands array<long>"), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("first")
-    distinct = materialize(sketched.groupBy("node").agg(first, F.min("text_key").alias("text_key")), "distinct")
+    distinct = materialize(sketched.groupBy("node").agg(first, F.min("text_key").alias("text_key"), F.min("fp").alias("fp")), "distinct")
+
+    # The trees' links, and sets of one fingerprint: each stands for itself by its least set.
+    prints = materialize(distinct.groupBy("fp").agg(F.min("node").alias("hub")), "prints")
+    by_print = distinct.join(prints, "fp").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    hub = lambda c: prints.select(F.col("fp").alias(c), F.col("hub").alias(f"{c}_hub"))
+    by_tree = near_prints(prints.select("fp")).join(hub("u"), "u").join(hub("v"), "v").select(F.col("u_hub").alias("u"), F.col("v_hub").alias("v"))
 
     # One row of each set speaks for its copies.
     reps = distinct.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
     speaks = sketched["doc_id"].eqNullSafe(reps["_id"]) & (sketched["text_key"] == reps["_key"])
     rows = sketched.join(reps, speaks, "left_semi").select("node", F.explode("bands").alias("band"))
-    hubs = materialize(rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub"), "hubs")
-    nominated = materialize(rows.join(hubs, "band").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "nominated")
+    by_band = rows.withColumn("hub", F.min("node").over(Window.partitionBy("band"))).where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    nominated = materialize(by_band.unionByName(by_tree).unionByName(by_print).distinct(), "nominated")
     blocks = materialize(connected_components(nominated).join(distinct, "node").select("node", F.col("root").alias("block"), "text_key"), "blocks")
 
-    texts = own.select("text_key", "text").join(blocks, "text_key").select("node", "block", "text").dropDuplicates(["node"])
+    # Only texts that stand for a set of some block move.
+    wanted = may_hold(blocks.select(F.col("text_key").alias("key")))
+    texts = own.where(wanted(F.col("text_key"))).select("text_key", "text").join(blocks, "text_key").select("node", "block", "text").dropDuplicates(["node"])
     sets = materialize(texts.mapInArrow(to_sets, "node long, block long, n int, shingles array<long>"), "sets")
     sizes = materialize(sets.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")), "sizes")
     # A block of several tiles is compared tile against tile: each text goes to one group for every tile of its block.
@@ -151,13 +187,14 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Dealt by tile, not by block, so that the tiles of a large block are the work of many tasks.
     linked = materialize(groups.repartition("block", "a", "b").groupBy("block", "a", "b").applyInArrow(links, "u long, v long").distinct(), "links")
 
-    # A set stands as its first row, so that the root of a component is the component's first row.
-    node = distinct.select("node", F.struct("first.lost", "first.doc_id", "first.text_key", "node").alias("at"))
-    edges = linked.join(node.withColumnsRenamed({"node": "u", "at": "a"}), "u").join(node.withColumnsRenamed({"node": "v", "at": "b"}), "v")
-    roots = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    later = materialize(roots.where("node != root").select("node.node"), "later")
-    discard(sets, sizes, nominated, blocks, hubs, linked)
+    # Of the sets of a component all go but that of its first row.
+    members = materialize(connected_components(linked).join(distinct, "node").select("root", "node", F.struct("first.lost", "first.doc_id", "first.text_key", "node").alias("at")), "members")
+    later = materialize(members.select("node").join(members.groupBy("root").agg(F.min("at").alias("least")).select("least.node"), "node", "left_anti"), "later")
+    discard(sets, sizes, nominated, blocks, prints, linked, members)
     firsts = distinct.join(later, "node", "left_anti").select("first.doc_id", "first.text_key")
-    often = sketched.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = firsts["doc_id"].eqNullSafe(often["_id"]) & (firsts["text_key"] == often["_key"])
-    return firsts.join(often, same, "left").select("doc_id", "text_key", F.col("_key").isNotNull().alias("repeats"))
+    often = sketched.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    often = often.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("n") > 1).alias("repeats"))
+    same = often["_id"].eqNullSafe(firsts["doc_id"]) & (often["_key"] == firsts["text_key"])
+    rows = materialize(often.join(firsts.withColumn("stays", F.lit(True)), same, "left").select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), "repeats", F.coalesce("stays", F.lit(False)).alias("stays")), "rows")
+    discard(sketched, later)
+    return rows.where("stays").drop("stays"), rows.where("repeats or not stays").select("doc_id", "text_key")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tideline.llm import near_copies
 from tideline.llm.text import bounded_batches
 from tideline.plans.components import connected_components
+from tideline.plans.keyset import may_hold
 from tideline.plans.scratch import materialize
 
 SEED = 42
@@ -45,16 +46,6 @@ FIT_SAMPLE = 1 << 16
 #: Levels of a tree at most.
 DEPTH = 10
 
-_SPREAD = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], dtype=np.uint64)
-
-
-def _set_bits(hashes: np.ndarray) -> np.ndarray:
-    """How many of the 64-bit ``hashes`` have each bit set."""
-    lanes = _SPREAD[hashes.view(np.uint8)].reshape(-1, 8)
-    sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
-    return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-
-
 def fingerprint(text: str | None, shingle: int = SHINGLE, piece: int = 1 << 15) -> int:
     """The 64-bit SimHash of a whole text; 0 for a text without words.
 
@@ -72,8 +63,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, piece: int = 1 << 15)
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
     for i in range(0, n, piece):
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[i : i + piece], ends[i : i + piece])]
-        counts += _set_bits(np.array(hashes, dtype="<u8"))
-    return int(((2 * counts > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+        counts += near_copies.set_bits(np.array(hashes, dtype="<u8"))
+    return near_copies.majority_bits(counts, n)
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -263,20 +254,27 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of ``docs`` for each component of near-duplicates: that of the least doc_id, all columns kept.
 
     Near-duplicates share ``similar`` of their ``shingle``-word shingles or
-    more; fingerprints within a few bits would pass most of them. Of one id the
+    more. The trees nominate texts whose fingerprints lie within RADIUS bits;
+    most near-duplicates are further apart, so bands of MinHash nominate too, and
+    the sets of shingles decide. Of one id the
     text of least hash stays, of equal rows one; rows without an id stay only
     where their component has none with an id. Null, empty and wordless texts
     are one component; long texts are compared whole; an empty table stays
     empty; columns of any name pass through.
     """
-    firsts = materialize(near_copies.first_rows(docs, id_col, text_col, shingle, similar), "firsts")
+    firsts, others = near_copies.first_rows(docs, near_pairs, id_col, text_col, shingle, similar)
+    # Rows that surely stand alone for their component stay where they are; only the others' texts move, to meet the exact keys.
+    key = lambda ident, text: F.xxhash64(ident, text)
+    unsure = may_hold(others.select(key(F.col("doc_id"), F.col("text_key")).alias("key")))
     text_key = F.xxhash64(docs[text_col])
+    held = unsure(key(docs[id_col], text_key))
+    some = docs.where(held)
 
     def rows_of(which: DataFrame) -> DataFrame:
         which = which.select(F.col("doc_id").alias("_first_id"), F.col("text_key").alias("_first_text"))
-        return docs.join(which, docs[id_col].eqNullSafe(which["_first_id"]) & (text_key == which["_first_text"]))
+        return some.join(which, docs[id_col].eqNullSafe(which["_first_id"]) & (text_key == which["_first_text"]))
 
-    # Of the few rows that repeat an id and text one is picked; all others are there once, and their texts need not move.
+    # Of the few rows that repeat an id and text one is picked; all others are there once.
     nth = F.row_number().over(Window.partitionBy("_first_id", "_first_text").orderBy("_first_id"))
     picked = rows_of(firsts.where("repeats")).withColumn("_nth_of_row", nth).where("_nth_of_row = 1")
-    return rows_of(firsts.where("not repeats")).select(docs.columns).unionByName(picked.select(docs.columns))
+    return docs.where(~held).unionByName(rows_of(firsts.where("not repeats")).select(docs.columns)).unionByName(picked.select(docs.columns))
