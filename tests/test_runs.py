@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,60 @@ def test_a_long_document_is_written_in_parts(spark):
     assert parts.count() == 5 and wire.encode_in_parts(frame, gone).count() == 1
     one, many = ({r.text for r in content.texts(content.placed_items(updates.decode_updates(p))).collect()} for p in (wire.encode_updates(frame, gone), parts))
     assert one == many == {"".join(c for i, c in enumerate("000102030405060708") if i not in (0, 3, 9, 10))}
+
+
+def many_trees(seed, docs=40):
+    """(doc_id, client, clock, len, origin_client, origin_clock, content) of runs of several documents whose ids coincide; some origins are missing."""
+    rng, rows = np.random.default_rng(seed), []
+    for doc in range(docs):
+        known, next_clock = [], {}
+        for _ in range(int(rng.integers(1, 30))):
+            client, length = int(rng.integers(1, 4)), int(rng.integers(1, 4))
+            at = known[rng.integers(len(known))] if known and rng.random() < 0.9 else None
+            clock = next_clock.get(client, 0)
+            next_clock[client] = clock + length
+            if rng.random() < 0.95:
+                rows.append((doc, client, clock, length, *(at or (None, None)), f"{doc}/{client}:{clock}"))
+            known += [(client, clock + i) for i in range(length)]
+    return rows
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 12, 0])
+def test_readiness_of_many_documents(spark, at_once):
+    rows = many_trees(11)
+    held = {(d, c, k + i): content for d, c, k, n, _, _, content in rows for i in range(n)}
+    origin = {content: (d, oc, ok) if oc is not None else None for d, _, _, _, oc, ok, content in rows}
+    ready = {c for c, o in origin.items() if o is None}
+    while more := {c for c, o in origin.items() if c not in ready and held.get(o) in ready}:
+        ready |= more
+    assert 0 < len(ready) < len(rows)
+    found = state.causally_ready(spark.createDataFrame(rows, "doc_id long, client long, clock long, len long, origin_client long, origin_clock long, content string"), at_once)
+    assert sorted(r.content for r in found.collect()) == sorted(ready)
+
+
+def test_readiness_moves_rows_once(spark, tmp_path):
+    """Short documents take no rounds of joins: the plan reads what it has written once, and groups it once."""
+    items = spark.createDataFrame([(1, 1, i, 1, 1 if i else None, i - 1 if i else None) for i in range(300)], "doc_id long, client long, clock long, len long, origin_client long, origin_clock long")
+    found = state.causally_ready(items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert found.count() == 300
+
+
+def test_a_ring_of_origins_raises(spark):
+    items = spark.createDataFrame([(1, 1, 0, 1, 2, 0), (1, 2, 0, 1, 1, 0), (2, 1, 0, 1, None, None)], "doc_id long, client long, clock long, len long, origin_client long, origin_clock long")
+    with pytest.raises(Exception, match="ring"):
+        state.causally_ready(items).collect()
+
+
+def test_short_sequences_are_ordered_together(spark, monkeypatch):
+    """Several documents in one call, with ids that coincide, have the places they have alone."""
+    rows = many_trees(5)
+    fields = "doc_id long, client long, clock long, len long, origin_client long, origin_clock long, content string"
+    found = {}
+    for at_once in (1 << 20, 0):
+        placed = order.origin_tree_order(spark.createDataFrame(rows, fields), at_once=at_once)
+        if at_once:
+            assert "_group" in placed._jdf.queryExecution().executedPlan().toString()
+        found[at_once] = sorted((r.doc_id, r.pos, r.client, r.clock) for r in placed.collect())
+    assert found[0] == found[1 << 20] and len(found[0]) > 100

@@ -15,15 +15,18 @@ from tideline.plans.scratch import materialize
 
 #: Runs that a task orders at once. Longer sequences are ordered by joins.
 AT_ONCE = 1 << 20
+#: Runs, about, of the short sequences that are ordered together.
+TOGETHER = 1 << 15
 
 
-def walk_tree(up: np.ndarray, client: np.ndarray, clock: np.ndarray) -> np.ndarray:
+def walk_tree(up: np.ndarray, client: np.ndarray, clock: np.ndarray, sequence: np.ndarray | None = None) -> np.ndarray:
     """The place of each node in the pre-order of a forest: ``up`` is its parent's index, -1 for none, -2 for one that is missing.
 
-    Children of one node stand by client, and of one client the later first.
-    Nodes below a missing one have place -1, and so have rings.
+    Children of one node stand by client, and of one client the later first;
+    trees of one ``sequence`` stand together. Nodes below a missing one have
+    place -1, and so have rings.
     """
-    order = np.lexsort((-clock, client, up))
+    order = np.lexsort((-clock, client, up) if sequence is None else (-clock, client, sequence, up))
     first, beside = [-1] * (len(up) + 1), [-1] * len(up)
     parents, order = up[order].tolist(), order.tolist()
     for i in range(len(order) - 1, -1, -1):
@@ -42,20 +45,79 @@ def walk_tree(up: np.ndarray, client: np.ndarray, clock: np.ndarray) -> np.ndarr
     return np.array(place, dtype=np.int64)
 
 
-def _origins(client: np.ndarray, clock: np.ndarray, end: np.ndarray, origin_client: pa.Array, origin_clock: pa.Array) -> np.ndarray:
-    """The index of the run whose last unit is each run's origin; -1 for none, -2 for one that isn't there."""
+def _origins(sequence: np.ndarray, client: np.ndarray, clock: np.ndarray, end: np.ndarray, origin_client: pa.Array, origin_clock: pa.Array, inside: bool = False) -> np.ndarray:
+    """The index of the run of the same sequence whose last unit is each run's origin; -1 for none, -2 for one that isn't there.
+
+    With ``inside`` the origin may be any unit of a run.
+    """
     free = origin_client.is_null().to_numpy(zero_copy_only=False)
     oc, ok = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (origin_client, origin_clock))
-    # Ids as one number: clients and clocks by their rank among all that occur.
-    codes = np.unique(np.concatenate([client, oc]), return_inverse=True)[1].reshape(2, -1)
-    ranks = np.unique(np.concatenate([end, ok + 1]), return_inverse=True)[1].reshape(2, -1)
+    # Ids as one number: sequences, clients and clocks by their rank among all that occur.
+    codes = np.unique(np.concatenate([client, oc]), return_inverse=True)[1]
+    codes = np.unique(np.concatenate([sequence, sequence]) * (2 * len(client) + 1) + codes, return_inverse=True)[1].reshape(2, -1)
+    ranks = np.unique(np.concatenate([clock if inside else end, ok if inside else ok + 1]), return_inverse=True)[1].reshape(2, -1)
     ids, wanted = codes * (2 * len(client) + 1) + ranks
     by = np.argsort(ids, kind="stable")
-    at = by[np.minimum(np.searchsorted(ids, wanted, sorter=by), len(by) - 1)]
-    found = ids[at] == wanted
+    if inside:
+        at = by[np.maximum(np.searchsorted(ids, wanted, side="right", sorter=by) - 1, 0)]
+        found = (codes[0][at] == codes[1]) & (clock[at] <= ok) & (ok < end[at])
+    else:
+        at = by[np.minimum(np.searchsorted(ids, wanted, sorter=by), len(by) - 1)]
+        found = ids[at] == wanted
     return np.where(free, -1, np.where(found, at, -2))
 
 
+def _codes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number from 0 on for each distinct combination of ``keys``, nulls being a value like any other."""
+    out = np.zeros(table.num_rows, dtype=np.int64)
+    for k in keys:
+        own = table.column(k).combine_chunks() if isinstance(table.column(k), pa.ChunkedArray) else table.column(k)
+        own = own.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.unique(out * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+    return out
+
+
+def each_short(runs: DataFrame, keys: list[str], at_once: int, place, fields: StructType) -> tuple[DataFrame, DataFrame | None]:
+    """``place(table, sequence)`` of the runs of all sequences of ``keys`` that have no more than ``at_once``, and the runs of longer ones, if any.
+
+    Short sequences come together, TOGETHER runs or so at a time, ``sequence``
+    telling them apart: most have few runs, and each call has a price.
+    """
+    long_ones = materialize(runs.groupBy(keys).agg(F.count("*").alias("n")).where(F.col("n") > at_once).drop("n"), "long")  # one row for each million of rows at most
+    none_long = long_ones.isEmpty()
+    short = runs if none_long else runs.join(long_ones, keys, "left_anti").select(runs.columns)
+    groups = max(1, -(-runs.count() // TOGETHER))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["_group"]).combine_chunks()
+        return place(table, _codes(table, keys))
+
+    placed = short.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups))).groupBy("_group").applyInArrow(run, fields)
+    return placed, None if none_long else runs.join(long_ones, keys, "left_semi").select(runs.columns)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    own = table.column(name)
+    return own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+
+
+def places(table: pa.Table, sequence: np.ndarray, inside: bool = False, missing_start: bool = False) -> np.ndarray:
+    """The place of each run of ``table`` in its sequence, -1 where it has none yet.
+
+    With ``inside`` an origin may be any unit of a run; with ``missing_start``
+    runs whose origin is missing stand at the start, so that only rings have no place.
+    """
+    client, clock, length = (table.column(c).to_numpy() for c in ("client", "clock", "len"))
+    up = _origins(sequence, client, clock, clock + length, _column(table, "origin_client"), _column(table, "origin_clock"), inside)
+    if missing_start:
+        up = np.where(up == -2, -1, up)
+    pos = walk_tree(up, client, clock, sequence)
+    first = np.full(int(sequence.max(initial=0)) + 1, len(pos), dtype=np.int64)
+    held = pos >= 0
+    np.minimum.at(first, sequence[held], pos[held])
+    return np.where(held, pos - first[sequence], -1)
+
+
 def origin_tree_order(items: DataFrame, keys: list[str] | None = None, at_once: int = AT_ONCE, is_split: bool = False) -> DataFrame:
     """``items(doc_id, client, clock, len, origin_client, origin_clock, ...)`` with ``pos``, their place from 0 on in each sequence of ``keys``.
 
@@ -67,8 +129,8 @@ def origin_tree_order(items: DataFrame, keys: list[str] | None = None, at_once:
     and both pieces return, unless the items are split already. Items whose origin is missing, or waits for one
     that is, have no place yet and are left out.
 
-    Sequences of up to ``at_once`` runs are each ordered by one walk in a task;
-    longer ones by joins, so no sequence need fit a task.
+    Sequences of up to ``at_once`` runs are ordered by walks in tasks, short ones
+    together; longer ones by joins, so no sequence need fit a task.
     """
     keys = keys or ["doc_id"]
     runs = items if "len" in items.columns else items.withColumn("len", F.lit(1).cast("long"))
@@ -76,25 +138,17 @@ def origin_tree_order(items: DataFrame, keys: list[str] | None = None, at_once:
         inside = items.where("origin_client is not null").select("doc_id", F.col("origin_client").alias("client"), (F.col("origin_clock") + 1).alias("clock"))
         runs = split_at(items, inside)
     runs = materialize(runs, "runs")
-    long_ones = runs.groupBy(keys).agg(F.count("*").alias("n")).where(F.col("n") > at_once).drop("n")
-    long_ones = materialize(long_ones, "long")  # one row for each million of rows at most
     fields = StructType([*runs.schema.fields]).add("pos", LongType())
     schema = to_arrow_schema(fields)
 
-    def place(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        client, clock, length = (table.column(c).to_numpy() for c in ("client", "clock", "len"))
-        one = lambda c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c)
-        up = _origins(client, clock, clock + length, one("origin_client"), one("origin_clock"))
-        pos = walk_tree(up, client, clock)
+    def place(table: pa.Table, sequence: np.ndarray) -> pa.Table:
+        pos = places(table, sequence)
         out = table.append_column("pos", pa.array(pos)).filter(pa.array(pos >= 0))
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(out.columns, schema)], schema=schema)
 
-    none_long = long_ones.isEmpty()
-    short = runs if none_long else runs.join(long_ones, keys, "left_anti").select(runs.columns)
-    placed = short.groupBy(keys).applyInArrow(place, fields)
-    if not none_long:
-        placed = placed.unionByName(_by_joins(runs.join(long_ones, keys, "left_semi").select(runs.columns), keys))
+    placed, rest = each_short(runs, keys, at_once, place, fields)
+    if rest is not None:
+        placed = placed.unionByName(_by_joins(rest, keys))
     return placed if "len" in items.columns else placed.drop("len")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.order import AT_ONCE, each_short, places
 from tideline.operators.runs import cut_front, mark_deleted, without_overlaps
 from tideline.plans.asof import as_of
 from tideline.plans.scratch import discard, materialize, replace
@@ -100,15 +103,35 @@ def park_gaps(log: DataFrame) -> DataFrame:
     return rows.withColumn("missing_from", F.when(F.col("parked"), missing)).drop("reached")
 
 
-def causally_ready(items: DataFrame) -> DataFrame:
+def causally_ready(items: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """The rows of ``items(doc_id, client, clock, origin_client, origin_clock)`` whose chain of origins is all there.
 
-    An origin may be any unit of a run, where items have a ``len``. The chain of
-    each item is followed by pointer doubling to where it starts, in rounds
+    An origin may be any unit of a run, where items have a ``len``. Documents of
+    up to ``at_once`` runs are each walked in a task, short ones together; in
+    longer ones the chains are followed by joins. Origins that form a ring raise.
+    """
+    runs = items if "len" in items.columns else items.withColumn("len", F.lit(1).cast("long"))
+    runs = materialize(runs, "runs")
+
+    def ready(table: pa.Table, sequence: np.ndarray) -> pa.Table:
+        whole = places(table, sequence, inside=True) >= 0
+        if not whole.all() and (places(table, sequence, inside=True, missing_start=True) < 0).any():
+            raise ValueError("the origins of some items form a ring")
+        return table.filter(pa.array(whole))
+
+    found, rest = each_short(runs, ["doc_id"], at_once, ready, runs.schema)
+    if rest is not None:
+        found = found.unionByName(_ready_by_joins(rest))
+    return found.select(items.columns)
+
+
+def _ready_by_joins(runs: DataFrame) -> DataFrame:
+    """The same without any document in one task.
+
+    The chain of each item is followed by pointer doubling to where it starts, in rounds
     that grow with the logarithm of the longest chain; items whose chain has
     come to its end take no further part.
     """
-    runs = items if "len" in items.columns else items.withColumn("len", F.lit(1).cast("long"))
     me = F.struct("doc_id", "client", "clock").alias("at")
     starts = runs.where("origin_client is null").select(me)
     held = runs.select("doc_id", F.col("client").alias("origin_client"), F.col("clock").alias("run_clock"), "len")
@@ -128,7 +151,7 @@ def causally_ready(items: DataFrame) -> DataFrame:
         live = replace(live, rest, "waiting")
     else:
         raise ValueError("the origins of some items form a ring")
-    return items.join(ready.select("at.*"), ["doc_id", "client", "clock"], "left_semi")
+    return runs.join(ready.select("at.*"), ["doc_id", "client", "clock"], "left_semi")
 
 
 def ready_until(structs: DataFrame) -> DataFrame:
