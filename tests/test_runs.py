@@ -336,3 +336,37 @@ def test_short_sequences_are_ordered_together(spark, monkeypatch):
             assert "_group" in placed._jdf.queryExecution().executedPlan().toString()
         found[at_once] = sorted((r.doc_id, r.pos, r.client, r.clock) for r in placed.collect())
     assert found[0] == found[1 << 20] and len(found[0]) > 100
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 12, 0])
+def test_parents_of_many_documents(spark, at_once):
+    """Parents come along chains of origins within runs and of right origins, in each document its own; a missing origin gives none."""
+    rows = []
+    for d, c, k, n, oc, ok, _ in many_trees(23):
+        ident = {"client": oc, "clock": ok} if oc is not None else None
+        right = k % 3 == 0
+        name = f"{d}-{c}-{k}" if ident is None else None
+        rows.append((d, c, k, n, None if right else ident, ident if right else None, name, None, f"key{d}" if ident is None and k % 2 else None))
+    held = {(r[0], r[1], r[2] + i): r for r in rows for i in range(r[3])}
+
+    def root(r):
+        while r is not None and (r[4] or r[5]):
+            ident = r[4] or r[5]
+            r = held.get((r[0], ident["client"], ident["clock"]))
+        return (r[6], r[8]) if r else (None, None)
+
+    pair = "struct<client:long,clock:long>"
+    table = spark.createDataFrame(rows, f"doc_id long, client long, clock long, len long, origin {pair}, right_origin {pair}, parent_name string, parent_id {pair}, parent_sub string")
+    found = updates.resolve_parents(table, at_once)
+    assert found.columns == table.columns
+    wanted = sorted((*r[:3], *(str(x) for x in root(r))) for r in rows)
+    assert sorted((r.doc_id, r.client, r.clock, str(r.parent_name), str(r.parent_sub)) for r in found.collect()) == wanted
+    assert any(w[3] == "None" for w in wanted)
+
+
+def test_parents_take_no_rounds_of_joins(spark):
+    pair = "struct<client:long,clock:long>"
+    table = spark.createDataFrame([(1, 1, i, 1, {"client": 1, "clock": i - 1} if i else None, None, None if i else "a", None, None) for i in range(100)], f"doc_id long, client long, clock long, len long, origin {pair}, right_origin {pair}, parent_name string, parent_id {pair}, parent_sub string")
+    found = updates.resolve_parents(table)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.parent_name for r in found.collect()} == {"a"}

@@ -45,7 +45,7 @@ def walk_tree(up: np.ndarray, client: np.ndarray, clock: np.ndarray, sequence: n
     return np.array(place, dtype=np.int64)
 
 
-def _origins(sequence: np.ndarray, client: np.ndarray, clock: np.ndarray, end: np.ndarray, origin_client: pa.Array, origin_clock: pa.Array, inside: bool = False) -> np.ndarray:
+def origins_of(sequence: np.ndarray, client: np.ndarray, clock: np.ndarray, end: np.ndarray, origin_client: pa.Array, origin_clock: pa.Array, inside: bool = False) -> np.ndarray:
     """The index of the run of the same sequence whose last unit is each run's origin; -1 for none, -2 for one that isn't there.
 
     With ``inside`` the origin may be any unit of a run.
@@ -108,7 +108,7 @@ def places(table: pa.Table, sequence: np.ndarray, inside: bool = False, missing_
     runs whose origin is missing stand at the start, so that only rings have no place.
     """
     client, clock, length = (table.column(c).to_numpy() for c in ("client", "clock", "len"))
-    up = _origins(sequence, client, clock, clock + length, _column(table, "origin_client"), _column(table, "origin_clock"), inside)
+    up = origins_of(sequence, client, clock, clock + length, _column(table, "origin_client"), _column(table, "origin_clock"), inside)
     if missing_start:
         up = np.where(up == -2, -1, up)
     pos = walk_tree(up, client, clock, sequence)

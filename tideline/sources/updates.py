@@ -7,10 +7,14 @@ import json
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tideline.operators.order import AT_ONCE, each_short, origins_of
 from tideline.plans.asof import as_of
 from tideline.plans.scratch import materialize
 from tideline.sources.wire import HAS_KEY, HAS_ORIGIN, HAS_RIGHT, STRUCT, TAGS
@@ -243,10 +247,42 @@ def decode_delete_sets(sets: DataFrame) -> DataFrame:
     return decoded(sets, "ds", "client long, clock long, len long", lambda r: ({k: x[k] for k in ("client", "clock", "len")} for x in read_ranges(r)))
 
 
-def resolve_parents(structs: DataFrame) -> DataFrame:
+def resolve_parents(structs: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """``structs`` with parent and key filled in from the origin where an update leaves them out.
 
     A struct without a parent has that of its origin, or of its right origin.
+    In documents of up to ``at_once`` runs the chains are followed in a task,
+    short documents together; in longer ones by joins.
+    """
+    structs = structs if hasattr(structs, "scratch_path") else materialize(structs, "structs")
+    schema = to_arrow_schema(structs.schema)
+
+    def fill(table: pa.Table, sequence: np.ndarray) -> pa.Table:
+        client, clock, length = (table.column(c).to_numpy() for c in ("client", "clock", "len"))
+        one = lambda c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c)
+        part = lambda c, field: pc.if_else(one(c).is_valid(), pc.struct_field(one(c), field), None)
+        own = pc.or_(one("parent_name").is_valid(), one("parent_id").is_valid())
+        up_client, up_clock = (pc.if_else(own, None, pc.if_else(one("origin").is_valid(), part("origin", f), part("right_origin", f))) for f in ("client", "clock"))
+        up = origins_of(sequence, client, clock, clock + length, up_client, up_clock, inside=True)
+        root = np.where(up >= 0, up, np.arange(len(up)))
+        for _ in range(64):
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+        out = table
+        for c in ("parent_name", "parent_id", "parent_sub"):
+            at = np.where(one(c).is_valid().to_numpy(zero_copy_only=False), np.arange(len(up)), root)
+            out = out.set_column(out.schema.get_field_index(c), c, one(c).take(pa.array(at)))
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(out.columns, schema)], schema=schema)
+
+    found, rest = each_short(structs, ["doc_id"], at_once, fill, structs.schema)
+    return found if rest is None else found.unionByName(_parents_by_joins(rest))
+
+
+def _parents_by_joins(structs: DataFrame) -> DataFrame:
+    """The same without any document in one task.
+
     The run that holds the origin comes by an as-of join; pointers then double
     along the chains, so the joins grow with the logarithm of the longest one.
     """
