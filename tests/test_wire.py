@@ -1,6 +1,7 @@
 """The binary format: golden bytes, hand-made updates, round trips, and bytes that hold nothing valid."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -149,3 +150,28 @@ def test_repeated_keys_are_written_once(spark):
     coded = columnar.encode_columnar(frame, spark.createDataFrame([], "doc_id long, client long, clock long, len long"))
     assert bytes(coded.first().update).count(b"bold") == 1
     assert [r.fmt_key for r in sorted(columnar.decode_columnar(coded).collect(), key=lambda r: r.clock)] == ["bold", "italic", "bold", "bold"]
+
+
+@pytest.mark.parametrize("encode", [columnar.encode_columnar, wire.encode_updates, lambda *a, **k: wire.encode_in_parts(*a, most=3, **k)])
+def test_documents_written_in_tasks_have_the_bytes_of_windows(spark, encode):
+    """Gaps, several clients, repeated keys, ids of all kinds, ranges that overlap or touch, and documents of ranges only."""
+    rng, rows, gone = random.Random(3), [], []
+    ident = lambda: rng.choice([None, None, {"client": rng.choice([1, 9, 2**33]), "clock": rng.randrange(300)}])
+    for doc in range(12):
+        for client in rng.sample([0, 1, 9, 200, 2**33], rng.randrange(0 if doc else 1, 4)):
+            clock = rng.choice([0, 0, 5])
+            for _ in range(rng.randrange(1, 9)):
+                kind = rng.choice(["gc", "deleted", "json", "any", "binary", "string", "embed", "format", "type", "doc", "move"])
+                text = rng.choice(["a", "plain", "é👍", "x" * 200])
+                n = {"gc": 70, "deleted": 3, "json": 2, "any": 2, "string": len(text.encode("utf-16-le")) // 2}.get(kind, 1)
+                row = struct_row(clock=clock, len=n, content_type=kind, origin=ident(), right_origin=ident(), parent_name=rng.choice([None, "t"]), parent_id=ident(), parent_sub=rng.choice([None, "k", "ß"]), type_class=rng.choice([1, 3]), node_name=text)
+                row |= {"doc_id": doc, "client": client, "str": text, "bin": text.encode(), "vals": [rng.choice(["1", "-70", "2.5", '"é"', "null", '{"b": [true], "a": 1}']) for _ in range(2 if kind in ("json", "any") else 1)], "fmt_key": rng.choice(["bold", "em"]), "move_target": {"client": 1, "clock": 130}, "move_len": 4}
+                rows.append(row)
+                clock += n + rng.choice([0, 0, 0, 200])
+            gone += [(doc, client, rng.randrange(40), rng.randrange(1, 20)) for _ in range(rng.randrange(3))]
+    gone += [(100, 1, 3, 2), (100, 1, 5, 1), (100, 7, 300, 200)]
+    frame, ranges = spark.createDataFrame(rows, "doc_id long, " + wire.STRUCT), spark.createDataFrame(gone, "doc_id long, client long, clock long, len long")
+    bytes_of = lambda df: sorted((r.doc_id, bytes(r.update).hex()) for r in df.collect())
+    whole = encode(frame, ranges)
+    assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert bytes_of(whole) == bytes_of(encode(frame, ranges, at_once=9))

@@ -1,17 +1,20 @@
-"""The columnar update format: nine run-length coded columns and a rest, written by windows over each document's values."""
+"""The columnar update format: nine run-length coded columns and a rest, written document by document in tasks, long documents by windows over their values."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.order import AT_ONCE
 from tideline.operators.state import compact_ranges
 from tideline.sources.updates import KINDS, MOST_STRUCTS, Reader, _arrow
 from tideline.sources.wire import HAS_KEY, HAS_ORIGIN, HAS_RIGHT, STRUCT, TAGS, any_values, byte, joined, no_bytes, var_bytes, var_int, var_string, var_uint
+from tideline.sources.written import Struct, by_client, count, each_document, given, signed, sized, tagged
 
 #: Columns in their order on the wire, and how each is coded.
 COLUMNS = {"key": "diff", "client": "run", "left": "diff", "right": "diff", "info": "byte", "string": "text", "parent": "byte", "type": "run", "len": "run"}
@@ -92,8 +95,144 @@ def _runs(rows: DataFrame) -> DataFrame:
     return runs.withColumn("data", coded).groupBy("doc_id", "column").agg(own.alias("own")).select("doc_id", "column", joined(F.col("own.data")).alias("data"))
 
 
-def encode_columnar(structs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(doc_id, update): each document's structs and delete set as one update in the columnar format, clients descending."""
+class _Writer:
+    """The columns of one update as they are written, and its rest."""
+
+    def __init__(self):
+        self.numbers: dict[str, list[int]] = {c: [] for c in COLUMNS}
+        self.texts, self.keys, self.rest = [], {}, bytearray()
+
+    def ident(self, ident: tuple[int, int], clock: str) -> None:
+        self.numbers["client"].append(ident[0])
+        self.numbers[clock].append(ident[1])
+
+    def text(self, text: str) -> None:
+        self.texts.append(given(text))
+        self.numbers["string"].append(len(text) if text.isascii() else len(text.encode("utf-16-le")) // 2)
+
+    def key(self, text: str) -> None:
+        fresh = given(text) not in self.keys
+        self.numbers["key"].append(self.keys.setdefault(text, len(self.keys)))
+        if fresh:
+            self.text(text)
+
+    def struct(self, s: Struct) -> None:
+        """What _emissions makes of a row."""
+        numbers, kind = self.numbers, s.content_type
+        plain = kind == "gc"
+        if kind not in TAGS or kind == "skip":
+            raise ValueError(f"unknown content {kind}")
+        origin, right = (None, None) if plain else (s.origin, s.right_origin)
+        free = not (plain or origin or right)
+        numbers["info"].append(TAGS[kind] | (HAS_ORIGIN if origin else 0) | (HAS_RIGHT if right else 0) | (HAS_KEY if free and s.parent_sub is not None else 0))
+        if origin:
+            self.ident(origin, "left")
+        if right:
+            self.ident(right, "right")
+        if free:
+            numbers["parent"].append(0 if s.parent_id else 1)
+            if s.parent_id:
+                self.ident(s.parent_id, "left")
+            else:
+                self.text(s.parent_name or "")
+            if s.parent_sub is not None:
+                self.text(s.parent_sub)
+        if kind in ("gc", "deleted"):
+            numbers["len"].append(s.len)
+        elif kind == "json":
+            numbers["len"].append(len(given(s.vals)))
+            for text in s.vals:
+                self.text(text)
+        elif kind == "any":
+            numbers["len"].append(len(given(s.vals)))
+            tagged(s.vals, self.rest)
+        elif kind == "embed":
+            tagged(s.vals, self.rest)
+        elif kind == "binary":
+            sized(given(s.bin), self.rest)
+        elif kind in ("string", "doc"):
+            self.text(s.str)
+            if kind == "doc":
+                self.rest.append(126)
+        elif kind == "format":
+            self.key(s.fmt_key)
+            tagged(s.vals, self.rest)
+        elif kind == "type":
+            numbers["type"].append(given(s.type_class))
+            if s.type_class == 3:
+                self.key(s.node_name)
+        else:
+            for n in (*given(s.move_target), given(s.move_len)):
+                count(n, self.rest)
+
+    def column(self, name: str) -> bytes:
+        """The numbers of a column, run-length coded in its way."""
+        how, values, out = COLUMNS[name], self.numbers[name], bytearray()
+        if how == "diff":
+            values = [b - a for a, b in zip([0, *values], values)]
+        runs = [(value, len(list(own))) for value, own in groupby(values)]
+        for i, (value, n) in enumerate(runs):
+            if how == "byte":
+                out.append(value)
+                if i < len(runs) - 1:
+                    count(n - 1, out)
+                continue
+            if how == "diff":
+                signed(value * 2 + (n > 1), out)
+            else:
+                signed(value, out, n > 1)
+            if n > 1:
+                count(n - 2, out)
+        if how == "text":
+            head = bytearray()
+            sized("".join(self.texts).encode(), head)
+            out = head + out
+        return bytes(out)
+
+
+def _write_columnar(structs: list[Struct], ranges: list[tuple]) -> bytes:
+    w, clients = _Writer(), by_client(structs)
+    count(len(clients), w.rest)
+    for client, rows in reversed(clients):
+        gaps = sum(b.clock > a.clock + a.len for a, b in zip(rows, rows[1:]))
+        count(len(rows) + gaps, w.rest)
+        count(rows[0].clock, w.rest)
+        w.numbers["client"].append(client)
+        upto = rows[0].clock
+        for s in rows:
+            if s.clock > upto:
+                w.numbers["info"].append(TAGS["skip"])
+                count(s.clock - upto, w.rest)
+            w.struct(s)
+            upto = s.clock + s.len
+    gone = by_client([r for r in ranges if r[2] > 0])
+    count(len(gone), w.rest)
+    for client, own in reversed(gone):
+        count(client, w.rest)
+        count(len(own), w.rest)
+        upto = 0
+        for _, clock, length in own:
+            count(clock - upto, w.rest)
+            count(length - 1, w.rest)
+            upto = clock + length
+    out = bytearray(b"\0")
+    for name in COLUMNS:
+        sized(w.column(name), out)
+    return bytes(out + w.rest)
+
+
+def encode_columnar(structs: DataFrame, ranges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(doc_id, update): each document's structs and delete set as one update in the columnar format, clients descending.
+
+    Documents of up to ``at_once`` structs and ranges are each written in a
+    task, short ones together; longer ones by windows.
+    """
+    found, rest = each_document(structs, ranges, STRUCT, lambda own, gone: [_write_columnar(own, gone)], at_once)
+    return found if rest is None else found.unionByName(_columnar_by_windows(*rest))
+
+
+def _columnar_by_windows(structs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The same by windows over each document's values."""
     order = Window.partitionBy("doc_id", "client").orderBy("clock")
     rows = structs.withColumn("gap", F.coalesce(F.col("clock") - F.lag(F.col("clock") + F.col("len")).over(order), F.lit(0)))
     parts = rows.select("doc_id", "client", "clock", F.posexplode(_emissions()).alias("i", "part")).select("doc_id", F.struct((-F.col("client")).alias("a"), F.lit(1).alias("b"), F.col("clock").alias("c"), F.col("i").alias("d")).alias("at"), "part.*")
@@ -104,7 +243,7 @@ def encode_columnar(structs: DataFrame, ranges: DataFrame) -> DataFrame:
     raw = lambda df, at, data: df.select("doc_id", at, data.alias("raw")).withColumns(empty)
     heads = raw(groups, place(-F.col("client"), 0, 0), F.concat(var_uint(F.col("n")), var_uint(F.col("start"))))
     names = groups.select("doc_id", place(-F.col("client"), 0, 1), F.lit("client").alias("column"), F.col("client").alias("number"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("raw"))
-    gone = compact_ranges(ranges)
+    gone = compact_ranges(ranges.where("len > 0"))
     docs = groups.groupBy("doc_id").agg(F.count("*").alias("n")).join(gone.select("doc_id").distinct(), "doc_id", "full")
     first = raw(docs, place(F.lit(-(2**62)), 0, 0), var_uint(F.coalesce("n", F.lit(0)).cast("long")))
 

@@ -31,14 +31,18 @@ class Reader:
         self.data, self.at = data, 0
 
     def byte(self) -> int:
-        if self.at >= len(self.data):
+        at = self.at
+        if at >= len(self.data):
             raise ValueError("unexpected end")
-        self.at += 1
-        return self.data[self.at - 1]
+        self.at = at + 1
+        return self.data[at]
 
     def uint(self) -> int:
-        value = 0
-        for i in range(8):
+        value = self.byte()
+        if value < 128:
+            return value
+        value &= 127
+        for i in range(1, 8):
             b = self.byte()
             value |= (b & 127) << (7 * i)
             if b < 128:
@@ -76,6 +80,8 @@ class Reader:
         tag = self.byte()
         if depth > MOST_DEPTH:
             raise ValueError("a value is nested too deep")
+        if tag == 119:
+            return self.text()
         if tag in (126, 127):
             return None
         if tag in (120, 121):
@@ -84,10 +90,11 @@ class Reader:
             return self.signed()
         if tag in (123, 124):
             wide = 8 if tag == 123 else 4
-            raw = bytes(self.byte() for _ in range(wide))
+            raw = self.data[self.at : self.at + wide]
+            if len(raw) < wide:
+                raise ValueError("unexpected end")
+            self.at += wide
             return struct.unpack("<d" if wide == 8 else "<f", raw)[0]
-        if tag == 119:
-            return self.text()
         if tag == 116:
             return {"$bytes": base64.b64encode(self.bytes()).decode()}
         if tag == 117:

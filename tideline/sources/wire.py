@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from tideline.operators.order import AT_ONCE
 from tideline.operators.state import compact_ranges, state_vector
+from tideline.sources.written import Struct, by_client, count, each_document, given, sized, tagged
 
 #: Columns of a struct: a run of units as an update holds it. Values of vals are JSON texts.
 STRUCT = (
@@ -92,35 +94,23 @@ def write_any(value, out: bytearray) -> None:
         out += b"\x7b" + struct.pack("<d", value)
     elif isinstance(value, str):
         out.append(119)
-        _sized(value.encode(), out)
+        sized(value.encode(), out)
     elif isinstance(value, dict) and set(value) == {"$bytes"}:
         out.append(116)
-        _sized(base64.b64decode(value["$bytes"]), out)
+        sized(base64.b64decode(value["$bytes"]), out)
     elif isinstance(value, dict):
         out.append(118)
-        _count(len(value), out)
+        count(len(value), out)
         for k in sorted(value):
-            _sized(k.encode(), out)
+            sized(k.encode(), out)
             write_any(value[k], out)
     else:
         out.append(117)
-        _count(len(value), out)
+        count(len(value), out)
         for v in value:
             write_any(v, out)
 
 
-def _count(n: int, out: bytearray) -> None:
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    out.append(n)
-
-
-def _sized(data: bytes, out: bytearray) -> None:
-    _count(len(data), out)
-    out += data
-
-
 @F.pandas_udf(BinaryType())
 def any_values(vals: pd.Series) -> pd.Series:
     """The tagged bytes of JSON texts, one after the other."""
@@ -177,12 +167,92 @@ def encode_delete_sets(ranges: DataFrame) -> DataFrame:
     return clients.groupBy("doc_id").agg(own.alias("own")).select("doc_id", F.concat(var_uint(F.size("own").cast("long")), joined(F.col("own.bytes"))).alias("ds"))
 
 
-def encode_updates(structs: DataFrame, ranges: DataFrame) -> DataFrame:
+def _write_struct(s: Struct, out: bytearray) -> None:
+    """What struct_bytes makes of a row."""
+    kind = s.content_type
+    plain = kind == "gc"
+    if kind not in TAGS or kind == "skip":
+        raise ValueError(f"unknown content {kind}")
+    origin, right, sub = (None, None, None) if plain else (s.origin, s.right_origin, s.parent_sub)
+    out.append(TAGS[kind] | (HAS_ORIGIN if origin else 0) | (HAS_RIGHT if right else 0) | (0 if sub is None else HAS_KEY))
+    for ident in (origin, right):
+        if ident:
+            count(ident[0], out)
+            count(ident[1], out)
+    if not (plain or origin or right):
+        if s.parent_id:
+            out.append(0)
+            count(s.parent_id[0], out)
+            count(s.parent_id[1], out)
+        else:
+            out.append(1)
+            sized((s.parent_name or "").encode(), out)
+    if sub is not None:
+        sized(sub.encode(), out)
+    if kind in ("gc", "deleted"):
+        count(s.len, out)
+    elif kind in ("string", "doc"):
+        sized(given(s.str).encode(), out)
+    elif kind in ("json", "any"):
+        count(len(given(s.vals)), out)
+        tagged(s.vals, out)
+    elif kind == "binary":
+        sized(given(s.bin), out)
+    elif kind == "embed":
+        tagged(s.vals, out)
+    elif kind == "format":
+        sized(given(s.fmt_key).encode(), out)
+        sized(given(given(s.vals)[0]).encode(), out)
+    elif kind == "type":
+        out.append(given(s.type_class))
+        if s.type_class == 3:
+            sized(given(s.node_name).encode(), out)
+    else:
+        for n in (*given(s.move_target), given(s.move_len)):
+            count(n, out)
+
+
+def _write_update(structs: list[Struct], ranges: list[tuple]) -> bytes:
+    clients = by_client(structs)
+    out = bytearray()
+    count(len(clients), out)
+    for client, rows in clients:
+        body, n, upto = bytearray(), len(rows), rows[0].clock
+        for s in rows:
+            if s.clock > upto:
+                n += 1
+                body.append(TAGS["skip"])
+                count(s.clock - upto, body)
+            _write_struct(s, body)
+            upto = s.clock + s.len
+        for x in (n, client, rows[0].clock):
+            count(x, out)
+        out += body
+    gone = by_client(ranges)
+    count(len(gone), out)
+    for client, own in gone:
+        count(client, out)
+        count(len(own), out)
+        for _, clock, length in own:
+            count(clock, out)
+            count(length, out)
+    return bytes(out)
+
+
+def encode_updates(structs: DataFrame, ranges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, update): each document's structs and delete set as one update in the row format.
 
     Structs of a client stand by clock, clients ascending. A gap of clocks
-    becomes a skip struct, so parked runs keep their clocks.
+    becomes a skip struct, so parked runs keep their clocks. Documents of up to
+    ``at_once`` structs and ranges are each written in a task, short ones
+    together; longer ones by windows.
     """
+    found, rest = each_document(structs, ranges, STRUCT, lambda own, gone: [_write_update(own, gone)], at_once)
+    return found if rest is None else found.unionByName(_updates_by_windows(*rest))
+
+
+def _updates_by_windows(structs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The same, each struct coded where it lies."""
     order = Window.partitionBy("doc_id", "client").orderBy("clock")
     gap = F.col("clock") - F.lag(F.col("clock") + F.col("len")).over(order)
     skip = F.when(gap > 0, F.concat(byte(F.lit(TAGS["skip"])), var_uint(gap))).otherwise(no_bytes())
@@ -201,15 +271,21 @@ def encode_updates(structs: DataFrame, ranges: DataFrame) -> DataFrame:
 PART = 1 << 18
 
 
-def encode_in_parts(structs: DataFrame, ranges: DataFrame, most: int = PART) -> DataFrame:
+def encode_in_parts(structs: DataFrame, ranges: DataFrame, most: int = PART, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, update): each document as one update or, where it has more than ``most`` structs or ranges, several; readers merge them in any order."""
 
+    def write(own: list[Struct], gone: list[tuple]) -> list[bytes]:
+        return [_write_update(own[at : at + most], gone[at : at + most]) for at in range(0, max(len(own), len(gone)), most)]
+
     def parts(rows: DataFrame) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("client", "clock")) - 1
         return rows.withColumn("_part", F.floor(nth / most)).withColumn("doc_id", F.struct("doc_id", "_part")).drop("_part")
 
-    whole = encode_updates(parts(structs), parts(compact_ranges(ranges.select("doc_id", "client", "clock", "len"))))
-    return whole.select("doc_id.doc_id", "update")
+    found, rest = each_document(structs, ranges, STRUCT, write, at_once)
+    if rest is None:
+        return found
+    whole = _updates_by_windows(parts(rest[0]), parts(compact_ranges(rest[1])))
+    return found.unionByName(whole.select("doc_id.doc_id", "update"))
 
 
 def encode_snapshots(log: DataFrame, ranges: DataFrame) -> DataFrame:
