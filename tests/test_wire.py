@@ -175,3 +175,12 @@ def test_documents_written_in_tasks_have_the_bytes_of_windows(spark, encode):
     whole = encode(frame, ranges)
     assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString()
     assert bytes_of(whole) == bytes_of(encode(frame, ranges, at_once=9))
+
+
+@pytest.mark.parametrize("encode", [columnar.encode_columnar, wire.encode_in_parts])
+def test_deletions_named_by_a_column_are_those_of_ranges(spark, encode):
+    """Structs are read once: where a column tells which are deleted, no second table of ranges is made of them."""
+    rows = [struct_row(clock=i, len=1, content_type="string", parent_name="t", str="a") | {"doc_id": doc, "deletes": gone} for doc, n in ((1, 2), (2, 7)) for i, gone in enumerate([True, None, False, True, True, False, True][:n])]
+    frame = spark.createDataFrame(rows, "doc_id long, deletes boolean, " + wire.STRUCT)
+    bytes_of = lambda df: sorted((r.doc_id, bytes(r.update)) for r in df.collect())
+    assert bytes_of(encode(frame, "deletes")) == bytes_of(encode(frame, frame.where("deletes"))) == bytes_of(encode(frame, "deletes", at_once=3))

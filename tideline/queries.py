@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as tx
 from tideline.operators import content, edit, history, order, positions, presence, state, values
+from tideline.operators.runs import mark_deleted
 from tideline.plans.scratch import materialize, scratch_dir
 from tideline.sources import messages
 from tideline.sources.columnar import decode_columnar, encode_columnar
@@ -448,6 +449,13 @@ def _structs(spark, sf_dir) -> DataFrame:
     )
 
 
+def _read_back(rows: DataFrame) -> DataFrame:
+    """Structs that were read, each with whether a range that was read holds it."""
+    value = F.get_json_object(F.element_at("vals", 1), "$.value").cast("double")
+    log = rows.where("content_type != 'range' and error is null").select("doc_id", "client", "clock", "len", "content_type", "str", "parent_sub", value.alias("value"))
+    return mark_deleted(log, rows.where("content_type = 'range'")).drop("len")
+
+
 @query(f"""
 SELECT doc_id, client, clock, CASE WHEN event_type = 'view' THEN 'string' ELSE 'any' END AS content_type, CASE WHEN event_type = 'view' THEN 'v' END AS str,
   CASE WHEN event_type <> 'view' THEN key END AS parent_sub, CASE WHEN event_type <> 'view' THEN value END AS value, deletes FROM ({EDITS_SQL})
@@ -455,22 +463,16 @@ SELECT doc_id, client, clock, CASE WHEN event_type = 'view' THEN 'string' ELSE '
 def update_round_trip(spark, sf_dir):
     """Every document's log as one binary update, read back into rows."""
     structs = _structs(spark, sf_dir)
-    rows = materialize(decode_updates(encode_in_parts(structs, structs.where("deletes"))), "decoded")
-    log = rows.where("content_type != 'range' and error is null")
-    gone = state.in_delete_set(log.select("doc_id", "client", "clock", "len"), rows.where("content_type = 'range'")).select("doc_id", "client", "clock", F.lit(True).alias("deletes"))
-    value = F.get_json_object(F.element_at("vals", 1), "$.value").cast("double")
-    return log.join(gone, ["doc_id", "client", "clock"], "left").select("doc_id", "client", "clock", "content_type", "str", "parent_sub", value.alias("value"), F.coalesce("deletes", F.lit(False)).alias("deletes"))
+    rows = materialize(decode_updates(encode_in_parts(structs, "deletes")), "decoded")
+    return _read_back(rows)
 
 
 @query(ORACLE["update_round_trip"])
 def columnar_round_trip(spark, sf_dir):
     """The same in the columnar format; keys of runs with an origin are left out of it and come back from the origin."""
     structs = _structs(spark, sf_dir)
-    rows = materialize(decode_columnar(encode_columnar(structs, structs.where("deletes"))), "decoded")
-    log = rows.where("content_type != 'range' and error is null")
-    gone = state.in_delete_set(log.select("doc_id", "client", "clock", "len"), rows.where("content_type = 'range'")).select("doc_id", "client", "clock", F.lit(True).alias("deletes"))
-    value = F.get_json_object(F.element_at("vals", 1), "$.value").cast("double")
-    return log.join(gone, ["doc_id", "client", "clock"], "left").select("doc_id", "client", "clock", "content_type", "str", "parent_sub", value.alias("value"), F.coalesce("deletes", F.lit(False)).alias("deletes"))
+    rows = materialize(decode_columnar(encode_columnar(structs, "deletes")), "decoded")
+    return _read_back(rows)
 
 
 @query(f"""
@@ -483,7 +485,7 @@ SELECT doc_id, client, clock, 'events' AS parent_name, parent_sub FROM heirs
 """)
 def parents_resolved(spark, sf_dir):
     structs = _structs(spark, sf_dir)
-    log = materialize(decode_updates(encode_updates(structs, structs.where("deletes"))), "decoded").where("content_type != 'range'")
+    log = materialize(decode_updates(encode_updates(structs, "deletes")), "decoded").where("content_type != 'range'")
     return resolve_parents(log).select("doc_id", "client", "clock", "parent_name", "parent_sub")
 
 

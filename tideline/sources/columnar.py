@@ -221,11 +221,12 @@ def _write_columnar(structs: list[Struct], ranges: list[tuple]) -> bytes:
     return bytes(out + w.rest)
 
 
-def encode_columnar(structs: DataFrame, ranges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+def encode_columnar(structs: DataFrame, ranges: DataFrame | str, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, update): each document's structs and delete set as one update in the columnar format, clients descending.
 
     Documents of up to ``at_once`` structs and ranges are each written in a
-    task, short ones together; longer ones by windows.
+    task, short ones together; longer ones by windows. ``ranges`` may name a
+    column of ``structs`` instead: those where it holds are deleted.
     """
     found, rest = each_document(structs, ranges, STRUCT, lambda own, gone: [_write_columnar(own, gone)], at_once)
     return found if rest is None else found.unionByName(_columnar_by_windows(*rest))

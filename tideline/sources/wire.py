@@ -239,13 +239,14 @@ def _write_update(structs: list[Struct], ranges: list[tuple]) -> bytes:
     return bytes(out)
 
 
-def encode_updates(structs: DataFrame, ranges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+def encode_updates(structs: DataFrame, ranges: DataFrame | str, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, update): each document's structs and delete set as one update in the row format.
 
     Structs of a client stand by clock, clients ascending. A gap of clocks
     becomes a skip struct, so parked runs keep their clocks. Documents of up to
     ``at_once`` structs and ranges are each written in a task, short ones
-    together; longer ones by windows.
+    together; longer ones by windows. ``ranges`` may name a column of ``structs``
+    instead: those where it holds are deleted.
     """
     found, rest = each_document(structs, ranges, STRUCT, lambda own, gone: [_write_update(own, gone)], at_once)
     return found if rest is None else found.unionByName(_updates_by_windows(*rest))
@@ -271,7 +272,7 @@ def _updates_by_windows(structs: DataFrame, ranges: DataFrame) -> DataFrame:
 PART = 1 << 18
 
 
-def encode_in_parts(structs: DataFrame, ranges: DataFrame, most: int = PART, at_once: int = AT_ONCE) -> DataFrame:
+def encode_in_parts(structs: DataFrame, ranges: DataFrame | str, most: int = PART, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, update): each document as one update or, where it has more than ``most`` structs or ranges, several; readers merge them in any order."""
 
     def write(own: list[Struct], gone: list[tuple]) -> list[bytes]:
